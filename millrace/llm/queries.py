@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, mixing, records, scratch, sharding, urls
+from millrace.llm import bpe, minhash, mixing, records, scratch, sharding, substrings, urls
 
 MULTILINGUAL = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ENGLISH = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -49,7 +53,12 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(spark, manifest).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_urls, op4_mixing, op5_sharding, op6_records)}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_urls, op3_minhash, op4_mixing, op5_sharding, op6_records, op10_substrings)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
