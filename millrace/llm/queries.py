@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, minhash, mixing, records, scratch, sharding, substrings, urls
+from millrace.llm import bpe, embeddings, languages, minhash, mixing, quality, records, scratch, sharding, substrings, urls
 
 MULTILINGUAL = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ENGLISH = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: (host, path, verdict)
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -53,12 +54,29 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read(spark, manifest).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = quality.judge(_documents(spark, sf_dir).select("doc_id", "text"), trusted)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = languages.train(docs.filter(~languages.held_out(F.col("doc_id"))), PIECES)
+    found = languages.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", languages.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_urls, op3_minhash, op4_mixing, op5_sharding, op6_records, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_urls, op3_minhash, op4_mixing, op5_sharding, op6_records, op7_embeddings, op8_quality, op9_language, op10_substrings)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -106,5 +124,24 @@ WITH d AS (
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM e
+""",
+    "op7_embeddings": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS x FROM embeddings
+), ok AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+  AND len(list_filter(x, lambda c: c <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.93
+), reach(u, v) AS (
+  SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON r.v = l.u
+), least AS (
+  SELECT u, min(v) AS m FROM reach GROUP BY u
+), n AS (
+  SELECT u, count(*) AS n_links FROM link GROUP BY u
+)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, least(e.vec_id, coalesce(least.m, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(least.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON n.u = e.vec_id LEFT JOIN least ON least.u = e.vec_id
 """,
 }
