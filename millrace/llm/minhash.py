@@ -59,10 +59,12 @@ def shingles(text: str | None) -> np.ndarray:
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """The sketches of some non-empty sets: one row of M registers each."""
+    if not sets:
+        return np.empty((0, M), "<u2")
     sizes = np.array([len(x) for x in sets])
     least = np.full((len(sets), M), np.inf)
     flat = least.reshape(-1)
-    element = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    element = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     x = np.zeros(len(element))
     step = 0
@@ -73,7 +75,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
         np.minimum.at(flat, owner * M + (z & np.uint64(M - 1)).astype(np.int64), x)
         go_on = x < least.max(axis=1)[owner]
         element, owner, x = element[go_on], owner[go_on], x[go_on]
-    return np.clip(np.floor(1 - np.log(least) / np.log(B)), 0, LIMIT).astype("<u2") if sets else np.empty((0, M), "<u2")
+    return np.clip(np.floor(1 - np.log(least) / np.log(B)), 0, LIMIT).astype("<u2")
 
 
 def similarity(more: np.ndarray, less: np.ndarray, equal: np.ndarray, n: np.ndarray, o: np.ndarray) -> np.ndarray:

@@ -98,12 +98,43 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select(F.col("source").alias("_s"), F.col("prefix").alias("threshold"))
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every row."""
-    slim = df.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size(F.col(text)).alias("size"), digest(F.col(key)).alias("hash"))
+#: Rows of the plan (one for each source) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """_s, source_size, target, passes and threshold of every source; a stored table."""
+    slim = df.select(F.col(source).cast("string").alias("source"), size(F.col(text)).alias("size"), digest(F.col(key)).alias("hash"))
     sized = scratch.table(slim, "sizes")
     budgets = scratch.table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **how), "targets")
     edges = thresholds(sized, budgets)
-    plan = budgets.join(edges, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_s")
-    taken = sized.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", F.col("passes") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0))
+    made = budgets.join(edges, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("source", "_s")
+    made = scratch.table(made.drop("rest"), "plan")
+    scratch.drop(sized)
+    return made
+
+
+def _planned(df: DataFrame, by: DataFrame, source: str) -> DataFrame:
+    if by.count() <= BROADCAST_ROWS:
+        by = F.broadcast(by)
+    return df.join(by, F.col(source).cast("string").eqNullSafe(F.col("_s")))
+
+
+def _copies(key: str) -> Column:
+    return F.col("passes") + F.when(digest(F.col(key)) < F.col("threshold"), 1).otherwise(0)
+
+
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every row."""
+    slim = df.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size(F.col(text)).alias("size"))
+    taken = _planned(slim, plan(df, key, text, source, **how), "source").withColumn("copies", _copies("doc_id"))
     return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def resample(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The rows of the mix: each as often as it is taken, with its own columns."""
+    row = F.struct(*df.columns).alias("_row")
+    by = plan(df, key, text, source, **how)
+    planned = _planned(df.select(row, F.col(source).alias("_source"), F.col(key).alias("_key")), by, "_source")
+    repeated = planned.withColumn("_copies", _copies("_key")).filter("_copies > 0")
+    return repeated.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")

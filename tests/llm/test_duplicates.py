@@ -87,6 +87,7 @@ def test_rows_with_one_doc_id_are_one_document(spark):
 def test_no_documents(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
+    assert near_rows(spark, [(1, None), (2, " ")]) == {(1, 0, 1), (2, 0, 2)}
 
 
 def test_registers_merge_and_estimate():
