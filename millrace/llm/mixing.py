@@ -6,7 +6,8 @@ is above. Which rows are taken follows from a hash of their key: a source's targ
 passes over it, plus a rest, for which rows are taken in the order of their hash. That order is
 never built: sizes are summed by (source, hash bucket), the bucket in which the sum crosses the rest is
 the only one refined, by the hash's next bits, and after LEVELS steps there is a threshold for each
-source. A row is taken once more if its hash is below.
+source. A row is taken once more if its hash is below. The last bucket, mostly one row, goes to the side that
+leaves the sum nearer to the rest.
 
 Thresholds are nested: a smaller target takes a subset. Rows with equal keys (or null ones) have equal
 hashes and are taken together. Null text has size 0; null sources form one source, ordered last. An
@@ -84,12 +85,14 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         found = found.groupBy("_s").agg(
             F.min(F.when(F.col("upto") > F.col("rest"), F.col("bucket"))).alias("edge"),
             F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("upto"))), F.lit(0)).alias("spent"),
+            F.min(F.when(F.col("upto") > F.col("rest"), F.col("upto") - F.col("rest"))).alias("over"),
         )
+        nearer = F.col("over") < F.col("rest") - F.col("spent") if not below else F.lit(False)
         state = state.join(found, F.col("source").eqNullSafe(F.col("_s")), "left").select(
             "source",
             (F.col("rest") - F.when(F.col("open"), F.coalesce("spent", F.lit(0))).otherwise(0)).alias("rest"),
             # Without an edge all of the bucket (at the first level, of the source) is taken: the next prefix.
-            F.when(F.col("open") & F.col("edge").isNotNull(), F.col("edge"))
+            F.when(F.col("open") & F.col("edge").isNotNull(), F.col("edge") + F.when(nearer, 1).otherwise(0))
             .when(F.col("open"), F.shiftleft(F.col("prefix") + 1, BITS))
             .otherwise(F.shiftleft("prefix", BITS)).alias("prefix"),
             (F.col("open") & F.col("edge").isNotNull()).alias("open"),

@@ -120,10 +120,11 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t
 ), e AS (
   SELECT d.doc_id, d.size, p.source_size, p.target, p.passes, target - passes * source_size AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+         sum(d.size) OVER (PARTITION BY d.source, d.h) AS own
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
 )
-SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN upto <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM e
+SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN upto <= rest OR (upto - own <= rest AND upto - rest < rest - (upto - own)) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM e
 """,
     "op7_embeddings": """
 WITH RECURSIVE v AS (
