@@ -10,7 +10,7 @@ stops as soon as it can lower none, so a set costs its size and a few hundred dr
 2. Bands of ROWS registers put nodes into buckets. At the lowest similarity that is linked, a pair shares
    no bucket with a probability of 6e-11.
 3. Every node is paired with the least node of each of its buckets. A pair goes on if its sizes allow the
-   similarity and the likelihood of the registers' order, given both sizes, peaks at LEAST or more (over six
+   similarity and the likelihood of the registers' order, given both sizes, peaks at LEAST or more (over five
    standard deviations below the limit); links are then confirmed on the full sets.
 4. Buckets that still hold more than one component are searched in blocks of BLOCK x BLOCK nodes: for every
    node the likeliest partners of other components go on and are confirmed. If a node had more of them, the
@@ -42,7 +42,9 @@ WORDS = 5
 PERCENT = 85
 M, ROWS = 128, 4
 B, A, LIMIT = 1.001, 20.0, 65535
-LEAST = 0.65
+LEAST = 0.68
+#: Equal registers below which a pair is not looked at further; the limit gives 109 on average.
+FEWEST = 64
 BLOCK = 512
 #: Rows of ids that may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -187,63 +189,59 @@ def _blocks(rows: DataFrame, partners: int) -> DataFrame:
     dealt = dealt.select("bucket", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "_b", "id", "n", "sketch", "component")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    def pairs(t: pa.Table) -> tuple[list[int], list[int], list[bool]]:
-        at = {c: t.column(c).to_numpy() for c in ("id", "n", "component", "_b")}
-        ids, n, component, block = at["id"], at["n"], at["component"], at["_b"]
-        us, vs, more = [], [], []
-        if len(ids) < 2 or component.min() == component.max():
-            return us, vs, more
-        first, last = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        k = _matrix(t.column("sketch"))
-        for x in range(len(ids)):
-            ok = (component != component[x]) & (100 * np.minimum(n, n[x]) >= PERCENT * np.maximum(n, n[x]))
-            if first != last:
-                ok &= block != block[x]
-            else:
-                ok[: x + 1] = False
-            if first != last and block[x] != first:
-                continue
-            other = np.flatnonzero(ok)
-            if not len(other):
-                continue
-            likely = _plausible(np.broadcast_to(k[x], (len(other), M)), k[other], np.full(len(other), n[x]), n[other])
-            order = np.argsort(-likely, kind="stable")
-            order = order[likely[order] >= LEAST]
-            for y in order[:partners]:
-                us.append(max(ids[x], ids[other[y]]))
-                vs.append(min(ids[x], ids[other[y]]))
-                more.append(len(order) > partners)
-        return us, vs, more
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
-
-        def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            us, vs, more = [], [], []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                for out, new in zip((us, vs, more), pairs(t.slice(a, b - a).combine_chunks()), strict=True):
-                    out += new
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(more, pa.bool_())], ["u", "v", "more"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([left, t]) if left is not None else t
-            last = [t.column(c)[-1].as_py() for c in ("bucket", "i", "j")]
             keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
-            whole = int(np.flatnonzero((keys == np.array(last)).all(1))[0])  # the last group may go on
+            whole = int(np.flatnonzero((keys == keys[-1]).all(1))[0])  # the last group may go on
             if whole:
-                yield from made(t.slice(0, whole))
+                yield _likeliest(t.slice(0, whole), partners)
             left = t.slice(whole)
         if left is not None and left.num_rows:
-            yield from made(left)
+            yield _likeliest(left, partners)
 
     return dealt.mapInArrow(run, "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
 
 
+def _likeliest(t: pa.Table, partners: int) -> pa.RecordBatch:
+    """Rows sorted by (bucket, i, j): for every row the likeliest rows of its group in another component."""
+    at = {c: t.column(c).to_numpy() for c in ("id", "n", "component", "_b", "bucket", "i", "j")}
+    k = _matrix(t.column("sketch"))
+    group = np.cumsum(np.r_[True, np.any([at[c][1:] != at[c][:-1] for c in ("bucket", "i", "j")], axis=0)])
+    # Two blocks are compared with each other, one block with itself.
+    across = at["i"] != at["j"]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    x = np.arange(len(group))
+    for apart in range(1, int(np.bincount(group).max())):
+        x = x[x + apart < len(group)]
+        x = x[group[x] == group[x + apart]]
+        y = x + apart
+        n, o = at["n"][x], at["n"][y]
+        ok = (at["component"][x] != at["component"][y]) & (100 * np.minimum(n, o) >= PERCENT * np.maximum(n, o))
+        ok &= ~across[x] | (at["_b"][x] != at["_b"][y])
+        p, q = x[ok], y[ok]
+        for start in range(0, len(p), 50_000):
+            some = slice(start, start + 50_000)
+            near = (k[p[some]] == k[q[some]]).sum(1) >= FEWEST
+            found.append((p[some][near], q[some][near]))
+    x, y = (np.concatenate([f[side] for f in found]) if found else np.empty(0, int) for side in (0, 1))
+    likely = np.concatenate([_plausible(k[x[s : s + 50_000]], k[y[s : s + 50_000]], at["n"][x[s : s + 50_000]], at["n"][y[s : s + 50_000]]) for s in range(0, len(x), 50_000)] or [np.empty(0)])
+    x, y, likely = x[likely >= LEAST], y[likely >= LEAST], likely[likely >= LEAST]
+    # Each row's partners, best first; a pair goes on if either end wants it.
+    ends, others, score = np.r_[x, y], np.r_[y, x], np.r_[likely, likely]
+    order = np.lexsort((at["id"][others], -score, ends))
+    ends, others = ends[order], others[order]
+    first = np.searchsorted(ends, ends)
+    wanted = np.arange(len(ends)) - first < partners
+    more = (np.bincount(ends, minlength=len(group)) > partners)[ends]
+    u, v = at["id"][ends[wanted]], at["id"][others[wanted]]
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64()), pa.array(more[wanted], pa.bool_())], ["u", "v", "more"])
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -259,22 +257,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1")
     members = scratch.table(placed.join(shared, "bucket"), "buckets")
 
-    stars = members.filter("id > least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct()
+    stars = scratch.table(members.filter("id > least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct(), "pairs")
     own = sketches.filter("doc_id is not null").join(groups, "same").select("doc_id", F.col("id").alias("u")).distinct()
     first = own.groupBy("doc_id").agg(F.min("u").alias("v"))
     repeated = own.join(first, "doc_id").filter("u <> v").select("u", "v")  # rows of one doc_id
     joined = components(_confirmed(_estimated(stars, nodes), docs).union(repeated))
-    partners = 16
+    partners = 64
+    tried = stars
     while True:
         named = members.join(joined, members.id == joined.node, "left").select("bucket", "size", "id", F.coalesce("component", "id").alias("component"))
         mixed = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
         rows = named.join(mixed, "bucket").join(nodes, "id")
         pairs = scratch.table(_blocks(rows, partners), "pairs")
-        new = _confirmed(pairs.select("u", "v"), docs)
+        new = _confirmed(pairs.select("u", "v").join(tried, ["u", "v"], "left_anti"), docs)
         if not new.isEmpty():
             joined = components(joined.toDF("u", "v").union(new))
         if pairs.filter("more").isEmpty():
             break
+        tried = scratch.table(tried.union(pairs.select("u", "v")).distinct(), "pairs")
         partners *= 8
 
     of_group = groups.join(joined, groups.id == joined.node, "left").select("same", F.coalesce("component", "id").alias("_component"))
