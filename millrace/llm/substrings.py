@@ -39,7 +39,7 @@ PREFIXES = (1, 2, 4)
 #: Suffixes that a group of short prefixes may have (about 40 bytes each while it is sorted).
 GROUP = 2_000_000
 BUCKET = 400
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 
 
 class Suffixes:
