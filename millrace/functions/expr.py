@@ -142,11 +142,22 @@ def or_default(column: Column, *others: Column) -> Column:
     return F.coalesce(*[F.when(F.trim(c) != "", c) for c in (column, *others)])
 
 
+def _half(total: Column) -> Column:
+    """Half of a whole number of cents, halves away from zero."""
+    up = F.abs(total) + 1
+    return F.sign(total).cast("long") * ((up - up % 2) / 2).cast("long")
+
+
+def _cents(x: Column) -> Column:
+    return F.round(x * 100).cast("long")
+
+
 def halving_fold(values: Column) -> Column:
-    """acc := round((acc + round(x, 2)) / 2, 2) from 0.0, in the array's order."""
-    return F.aggregate(values, F.lit(0.0), lambda a, x: F.round((a + F.round(x, 2)) / 2, 2))
+    """acc := round((acc + round(x, 2)) / 2, 2) from 0.0, in the array's order. It runs on whole cents, in which a
+    half is a half."""
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: _half(a + _cents(x)), lambda a: a / F.lit(100.0))
 
 
 def running_mean_fold(values: Column) -> Column:
-    """acc := x where acc is 0, else round((acc + x) / 2, 2), in the array's order."""
-    return F.aggregate(values, F.lit(0.0), lambda a, x: F.when(a == 0, x).otherwise(F.round((a + x) / 2, 2)))
+    """acc := x where acc is 0, else round((acc + x) / 2, 2), in the array's order, on whole cents."""
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: F.when(a == 0, _cents(x)).otherwise(_half(a + _cents(x))), lambda a: a / F.lit(100.0))

@@ -65,13 +65,17 @@ def handled(actions: DataFrame, matched: DataFrame) -> DataFrame:
     return actions.join(last, "device_id", "left").withColumn("handled", F.coalesce(F.col("at") <= F.col("_last"), F.lit(False))).drop("_last")
 
 
-def deferred_opens(opens: DataFrame, actions: DataFrame) -> DataFrame:
-    """The open event of each open with an action in its window that was not handled before."""
-    found = actions_in_window(opens, actions).filter("action_id is not null")
+def first_per_action(found: DataFrame) -> DataFrame:
+    """The first open of each action, as an open event on its link."""
     first = found.withColumn("_k", F.row_number().over(Window.partitionBy("action_id").orderBy("at", "open_id"))).filter("_k = 1")
     return first.select("open_id", "device_id", F.col("action_link_id").alias("link_id"), F.lit("open").alias("event"), "at")
 
 
+def deferred_opens(opens: DataFrame, actions: DataFrame) -> DataFrame:
+    """The open event of each open with an action in its window that was not handled before."""
+    return first_per_action(actions_in_window(opens, actions).filter("action_id is not null"))
+
+
 TIE_BREAK = ["screen_width", "screen_height", "timezone", "webgl_vendor", "webgl_renderer", "language"]
 
 
@@ -95,8 +99,8 @@ def fingerprint_matches(requests: DataFrame, seen: DataFrame, minutes: int = 5)
 def display(links: DataFrame) -> DataFrame:
     """Title and subtitle of a link, else of its domain, else the defaults; blank is missing."""
     return links.withColumns({
-        "shown_title": or_default(F.col("title"), F.col("domain_title"), F.lit("Open the app")),
-        "shown_subtitle": or_default(F.col("subtitle"), F.col("domain_subtitle"), F.lit("")),
+        "shown_title": F.coalesce(or_default(F.col("title"), F.col("domain_title")), F.lit("Open the app")),
+        "shown_subtitle": F.coalesce(or_default(F.col("subtitle"), F.col("domain_subtitle")), F.lit("")),
     })
 
 

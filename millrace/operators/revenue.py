@@ -143,7 +143,7 @@ def match_webhooks(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     rank = Window.partitionBy("notice_id").orderBy("done", "event_id")
     best = hits.withColumn("_k", F.row_number().over(rank)).filter("_k = 1").select("notice_id", "event_id", "done")
     joined = incoming.join(best, "notice_id", "left")
-    return joined.withColumn("action", F.when(F.col("event_id").isNull(), "create").when("done", "none").otherwise("validate")).drop("done")
+    return joined.withColumn("action", F.when(F.col("event_id").isNull(), "create").when(F.col("done"), "none").otherwise("validate")).drop("done")
 
 
 #: What a store's notice means for purchases (fixed values).

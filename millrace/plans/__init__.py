@@ -2,9 +2,9 @@
 
 
 def _load():
-    from millrace.plans import base, events
+    from millrace.plans import analytics, attribution, base, events, revenue
 
-    del events
+    del analytics, attribution, events, revenue
     return base
 
 
