@@ -122,13 +122,52 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^?#]*)", 1)
 
 
-#: Marks of user agents that are no people (fixed values).
-BOT_MARKS = ["bot", "crawl", "spider", "slurp", "facebookexternalhit", "whatsapp", "preview", "curl", "wget", "python-requests", "headless", "lighthouse", "pingdom", "scrapy"]
-
-
-def is_bot(user_agent: Column) -> Column:
-    """Whether a user agent names a bot; null is none."""
-    return F.coalesce(F.lower(user_agent).rlike("|".join(BOT_MARKS)), F.lit(False))
+#: Patterns of user agents that fetch link previews (fixed values).
+PREVIEW_AGENTS = [
+    "facebookexternalhit",
+    "facebot",
+    "twitterbot",
+    "linkedinbot",
+    "whatsapp",
+    "slackbot",
+    "slack-imgproxy",
+    "telegrambot",
+    "discordbot",
+    "skypeuripreview",
+    "viber",
+    "pinterest",
+    "redditbot",
+    "quora link preview",
+    "macoutlook",
+    "cfnetwork",
+    "teams",
+    "msteams",
+    "microsoft.*(office|preview)",
+    "google-structured-data-testing-tool",
+    "google-inspectiontool",
+    "embedly",
+    "nuzzel",
+    "iframely",
+    "ogpreview",
+    "glimpsebot",
+    "vkshare",
+    "outbrain",
+    "thunderbird",
+    "easymail",
+    "superhuman",
+    "bingpreview",
+    "preview",
+]
+
+
+def is_preview(user_agent: Column) -> Column:
+    """Whether a user agent fetches previews; null and blank do not."""
+    return F.coalesce(F.lower(user_agent).rlike("|".join(PREVIEW_AGENTS)), F.lit(False))
+
+
+def counts_as_view(user_agent: Column, fallback: Column, redirect: Column) -> Column:
+    """A shown link is a view unless a preview fetched it, or a fallback or redirect was asked for."""
+    return ~is_preview(user_agent) & ~F.coalesce(fallback, F.lit(False)) & ~F.coalesce(redirect, F.lit(False))
 
 
 def append_utm(url: Column, **values: Column) -> Column:

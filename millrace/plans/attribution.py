@@ -92,13 +92,13 @@ def a8(b: Base):
     return a.fingerprint_matches(requests, seen, 360)
 
 
-AGENTS = ["Mozilla/5.0 (iPhone)", "Googlebot/2.1", "curl/8.0", "Mozilla/5.0 (Linux; Android 14)", "WhatsApp/2.2", "SiteCrawler"]
+AGENTS = ["Mozilla/5.0 (iPhone)", "Twitterbot/1.0", "Mozilla BingPreview/1.0b", "Mozilla/5.0 (Linux; Android 14)", "WhatsApp/2.2", "Microsoft Office/16"]
 
 
-@query("A9_bot_filter", "SELECT event_id, event_id % 6 IN (1, 2, 4, 5) AS bot FROM a_events")
+@query("A9_bot_filter", "SELECT event_id, event_id % 6 IN (1, 2, 4, 5) AS preview, event_id % 6 IN (0, 3) AND event_id % 7 <> 0 AS counted FROM a_events")
 def a9(b: Base):
     agent = F.element_at(F.array(*[F.lit(x) for x in AGENTS]), (F.col("event_id") % 6 + 1).cast("int"))
-    return b.t.events.select("event_id", expr.is_bot(agent).alias("bot"))
+    return b.t.events.select("event_id", expr.is_preview(agent).alias("preview"), expr.counts_as_view(agent, F.col("event_id") % 7 == 0, F.lit(None).cast("boolean")).alias("counted"))
 
 
 @query("A10_deferred_open", "SELECT open_id, device_id, action_link_id AS link_id FROM (SELECT o.*, b.action_id, b.action_link_id, row_number() OVER (PARTITION BY b.action_id ORDER BY o.at, o.open_id) AS k FROM opens o JOIN best b ON b.open_id = o.open_id) x WHERE k = 1", f"{OPENS}, {_window(360).replace('a.action_id <> o.open_id AND ', '')}")
