@@ -9,9 +9,9 @@ a repeat, and runs of such nodes along a document are its maximal repeats.
 1. Suffixes are counted by the hash of their first 1, 2 and 4 words. A suffix belongs to its shortest prefix with
    GROUP suffixes at most; what has none is grouped by all WINDOW words. The driver gets the counts, of which
    there are 3 * 2**bits, with bits from the size of the text.
-2. Each chunk of documents sends every group the nodes that it has (a 64-bit hash of the path; with the prefix
+2. Every FLUSH suffixes, a task sends every group the nodes that it has seen (a 64-bit hash of the path; with the prefix
    that two paths must share, they differ in fact if they differ here) and the least doc_id of each node, so a
-   passage that stands in a third of all documents is one entry a chunk.
+   passage that stands in a third of all documents is one entry each time.
 3. A group sorts its nodes, and gives back those that have a smaller doc_id elsewhere, packed by a hash of the
    doc_id; documents meet their nodes in buckets of about BUCKET rows, and covered words are cut out.
 
@@ -40,6 +40,8 @@ PREFIXES = (1, 2, 4)
 GROUP = 2_000_000
 BUCKET = 400
 CHUNK_BYTES = 4 << 20
+#: Suffixes that a task gathers before it sends them on (about 60 bytes each while they are sorted).
+FLUSH = 2_000_000
 
 
 class Suffixes:
@@ -105,38 +107,42 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64))
 
 
+def _packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of (group, sure, paths, keys) from some chunks' paths, keys and groups."""
+    path, key, group = (np.concatenate([x[k] for x in held]) for k in range(3))
+    order = np.lexsort((key, path))
+    path, key, group = path[order], key[order], group[order]
+    first = np.r_[True, path[1:] != path[:-1]][: len(path)]
+    least = key[np.flatnonzero(first)][np.cumsum(first) - 1]
+    new_key = np.r_[True, key[1:] != key[:-1]][: len(path)]
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    for sure, chosen in ((False, first), (True, ~first & new_key & (key > least))):
+        some = np.flatnonzero(chosen)
+        some = some[np.lexsort((key[some], group[some]))]  # rising keys pack well
+        g = group[some]
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                for column, value in zip(out, (int(g[a]), sure, path[some[a:b]].tobytes(), _pack(key[some[a:b]])), strict=True):
+                    column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["group", "sure", "paths", "keys"])
+
+
 def _nodes(df: DataFrame, hot: np.ndarray, bits: int, window: int) -> DataFrame:
     """(group, sure, paths, keys): each chunk's nodes by group with the least key; and, as sure, the other keys that
     have a node with a smaller key in their chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in slices(batches, "text", CHUNK_BYTES):
             keys = _keys(batch, "doc_id")
-            order = np.argsort(keys, kind="stable")
-            order = order[keys[order] != _NULL]
-            keys = keys[order]
-            texts = batch.column("text").to_pylist()
-            found = Suffixes([texts[i] for i in order], window)
-            if not len(found.start):
-                continue
-            by_path = np.argsort(found.path, kind="stable")
-            path, document = found.path[by_path], keys[found.document[by_path]]
-            first = np.r_[True, path[1:] != path[:-1]]
-            least = document[np.flatnonzero(first)][np.cumsum(first) - 1]
-            again = ~first & (document > least)
-            group = _route(found, hot, bits)[by_path]
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for sure, chosen in ((False, first), (True, again)):
-                some = np.flatnonzero(chosen)
-                g = group[some]
-                o = np.lexsort((by_path[some], g))  # by group, then along the documents
-                some, g = some[o], g[o]
-                cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    if b > a:
-                        for column, value in zip(out, (int(g[a]), sure, path[some[a:b]].tobytes(), _pack(document[some[a:b]])), strict=True):
-                            column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["group", "sure", "paths", "keys"])
+            found = Suffixes([None if k == _NULL else t for t, k in zip(batch.column("text").to_pylist(), keys.tolist(), strict=True)], window)
+            held.append((found.path, keys[found.document], _route(found, hot, bits)))
+            if sum(len(x[0]) for x in held) >= FLUSH:
+                yield _packed(held)
+                held = []
+        if held:
+            yield _packed(held)
 
     return df.select("doc_id", "text").mapInArrow(run, "group long, sure boolean, paths binary, keys binary")
 
@@ -195,7 +201,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     """Add n_words, n_removed and kept (the words that stay, joined by one space) to every row."""
     slim = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    bits = min(20, 4 + max(0, math.ceil(math.log2(1 + size / 5 / group))))
+    bits = min(20, max(4, math.ceil(math.log2(1 + size / 5 / group))))
     hot = np.zeros((len(PREFIXES), 1 << bits), bool)
     for level, at, n in prefix_counts(slim, bits, window).filter(F.col("n") > group).collect():
         hot[level][at] = True

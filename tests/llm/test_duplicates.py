@@ -142,7 +142,8 @@ def removed(rows, window=13):
 
 @pytest.mark.parametrize("group", [substrings.GROUP, 50])
 def test_repeats_by_brute_force(spark, group, monkeypatch):
-    monkeypatch.setattr(substrings, "CHUNK_BYTES", 20_000)
+    if group == 50:
+        monkeypatch.setattr(substrings, "FLUSH", 3000)
     rng = random.Random(4)
     hot = " ".join(f"h{k}" for k in range(40))
     rows = [(i, t + (" " + hot + "\n" + t[:50] if i % 3 == 0 else "")) for i, t in made_documents(3, 150)]
