@@ -27,7 +27,7 @@ def root(spark: SparkSession) -> str:
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; nothing is created."""
-    return f"{root(spark)}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{root(spark)}/millrace/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -50,3 +50,8 @@ def drop(df: DataFrame) -> None:
     for path in paths:
         if "/millrace/" in path:
             delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has written here, once its results are stored elsewhere."""
+    delete(spark, f"{root(spark)}/millrace/{spark.sparkContext.applicationId}")
