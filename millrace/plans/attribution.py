@@ -149,7 +149,7 @@ def a16(b: Base):
     return a.without_tenant(b.t.events, b.instances.filter("instance_id = 1")).select("event_id", "project_id")
 
 
-@query("I17_drain_queue")
+@query("I17_drain_queue", "SELECT device_id, 'ios' AS platform, max(created_at) AS at FROM a_events WHERE event_id % 4 = 0 GROUP BY device_id HAVING max(created_at) > TIMESTAMP '2024-01-28 00:00:00'")
 def i17(b: Base):
     jobs = b.t.events.select(F.when(F.col("event_id") % 4 == 0, "device").otherwise("event").alias("job"), "event_id", "device_id", F.lit("ios").alias("platform"), F.col("created_at").alias("at"))
     stored = b.t.devices.select("device_id", F.lit("2024-01-28").cast("timestamp_ntz").alias("updated_at"))

@@ -12,10 +12,11 @@ from millrace.schemas import METRICS
 GAP = 6 * 3600
 
 
-@query("I1_parse_events")
+@query("I1_parse_events", "SELECT event, project_id, device_id, link_id, engagement_time, CAST(NULL AS VARCHAR) AS data, created_at FROM a_events")
 def parse(b: Base):
     raw = b.t.events.select(F.to_json(F.struct(F.col("event").alias("type"), "project_id", "device_id", "link_id", "engagement_time", F.col("created_at").cast("string").alias("created_at"))).alias("value"))
-    return ingest.parse(raw, F.lit("2024-02-01").cast("timestamp"))
+    broken = b.spark.createDataFrame([("{no json",), ('{"type":"view"}',), ('{"type":"other","project_id":1,"device_id":1}',)], "value string")
+    return ingest.parse(raw.union(broken), F.lit("2024-02-01").cast("timestamp")).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @query("I2_enrich_events", "SELECT event_id, project_id, device_id, link_id, path, raw_platform AS platform, app_version, true AS processed FROM en WHERE event <> 'user_referred'")

@@ -131,7 +131,13 @@ def r14(b: Base):
     return r.attribute_from_last_visit(b.t.purchases, b.t.visitors, ingest.last_visits(b.t.events, b.t.visitors)).select("event_id", "link_id")
 
 
-@query("R15_webhook_match")
+@query(
+    "R15_webhook_match",
+    """SELECT i.event_id AS notice_id, s.event_id, CASE WHEN s.event_id IS NULL THEN 'create' WHEN s.done THEN 'none' ELSE 'validate' END AS action FROM txns i LEFT JOIN (
+         SELECT n.event_id AS notice, o.event_id, coalesce(o.webhook_validated, false) AS done, row_number() OVER (PARTITION BY n.event_id ORDER BY coalesce(o.webhook_validated, false), o.event_id) AS k
+         FROM txns n JOIN txns o ON o.event_id % 2 = 0 AND o.project_id = n.project_id AND o.event_type = n.event_type AND o.txn = n.txn) s ON s.notice = i.event_id AND s.k = 1""",
+    "txns AS (SELECT *, original_transaction_id || '_' || (event_id % 3) AS txn FROM a_purchase_events)",
+)
 def r15(b: Base):
     stored = b.t.purchases.withColumn("transaction_id", F.concat("original_transaction_id", F.lit("_"), (F.col("event_id") % 3).cast("string")))
     incoming = stored.select(F.col("event_id").alias("notice_id"), "project_id", "event_type", "transaction_id", "original_transaction_id")
