@@ -12,11 +12,10 @@ stops as soon as it can lower none, so a set costs its size and a few hundred dr
 3. Every node is paired with the least node of each of its buckets. A pair goes on if its sizes allow the
    similarity and the likelihood of the registers' order, given both sizes, peaks at LEAST or more (over five
    standard deviations below the limit); links are then confirmed on the full sets.
-4. Buckets that still hold more than one component are searched in blocks of BLOCK x BLOCK nodes: for every
-   node the likeliest partners of other components go on and are confirmed. If a node had more of them, the
-   number is raised eightfold and the step is repeated over the new components, until none had. So no pair
-   that shares a bucket is left out unless its ends are already joined; a group of copies, though, costs about one
-   link a copy.
+4. Buckets that still hold more than one component are searched in blocks of BLOCK x BLOCK nodes, which carry their
+   sets. A pair is looked at in the first band that it shares, passes the same tests, and its sets are intersected
+   there; of the links a block finds, those that join components go on, so a block gives at most one link a
+   node, however many pairs it compares. They are confirmed again on the texts.
 
 Nulls and texts without words have an empty set and are linked with nothing. Rows with the same doc_id
 are one document, linked with all that any of its rows is. Rows with a null doc_id are linked with
@@ -46,6 +45,7 @@ LEAST = 0.68
 #: Equal registers below which a pair is not looked at further; the limit gives 109 on average.
 FEWEST = 64
 BLOCK = 512
+KEPT = np.uint64(2**48 - 1)
 #: Rows of ids that may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -180,41 +180,52 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return links
 
 
-def _blocks(rows: DataFrame, partners: int) -> DataFrame:
-    """From (bucket, size, id, n, sketch, component): pairs (u, v, more) of different components that are plausible,
-    at most ``partners`` for a node in a block; more tells that a node had more."""
+def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The sets of the documents with these ids: the first six bytes of each hash, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            made = [np.unique(shingles(t) & KEPT).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["id", "shingles"])
+
+    ids = ids.select(F.col("id").alias("doc_id"))
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, shingles binary")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """From (bucket, band, size, id, n, sketch, component, shingles): links (u, v) between different components."""
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), count).cast("int")
     dealt = rows.withColumns({"_n": count, "_b": own}).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    dealt = dealt.select("bucket", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "_b", "id", "n", "sketch", "component")
+    dealt = dealt.select("bucket", "band", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"), "_b", "id", "n", "sketch", "component", "shingles")
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: pa.Table | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([left, t]) if left is not None else t
-            keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
-            whole = int(np.flatnonzero((keys == keys[-1]).all(1))[0])  # the last group may go on
-            if whole:
-                yield _likeliest(t.slice(0, whole), partners)
-            left = t.slice(whole)
+            for part in slices([batch], "shingles", 16 << 20):
+                t = pa.Table.from_batches([part])
+                t = pa.concat_tables([left, t]) if left is not None else t
+                keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
+                whole = int(np.flatnonzero((keys == keys[-1]).all(1))[0])  # the last group may go on
+                if whole:
+                    yield _joining(t.slice(0, whole))
+                left = t.slice(whole)
         if left is not None and left.num_rows:
-            yield _likeliest(left, partners)
+            yield _joining(left)
 
-    return dealt.mapInArrow(run, "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def _likeliest(t: pa.Table, partners: int) -> pa.RecordBatch:
-    """Rows sorted by (bucket, i, j): for every row the likeliest rows of its group in another component."""
-    at = {c: t.column(c).to_numpy() for c in ("id", "n", "component", "_b", "bucket", "i", "j")}
+def _joining(t: pa.Table) -> pa.RecordBatch:
+    """Of the links within each group of rows sorted by (bucket, i, j), those that join components, likeliest first."""
+    at = {c: t.column(c).to_numpy() for c in ("id", "n", "component", "_b", "bucket", "i", "j", "band")}
     k = _matrix(t.column("sketch"))
     group = np.cumsum(np.r_[True, np.any([at[c][1:] != at[c][:-1] for c in ("bucket", "i", "j")], axis=0)])
-    # Two blocks are compared with each other, one block with itself.
-    across = at["i"] != at["j"]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    across = at["i"] != at["j"]  # two blocks are compared with each other, one block with itself
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     x = np.arange(len(group))
     for apart in range(1, int(np.bincount(group).max())):
         x = x[x + apart < len(group)]
@@ -224,22 +235,46 @@ def _likeliest(t: pa.Table, partners: int) -> pa.RecordBatch:
         ok = (at["component"][x] != at["component"][y]) & (100 * np.minimum(n, o) >= PERCENT * np.maximum(n, o))
         ok &= ~across[x] | (at["_b"][x] != at["_b"][y])
         p, q = x[ok], y[ok]
-        for start in range(0, len(p), 50_000):
-            some = slice(start, start + 50_000)
-            near = (k[p[some]] == k[q[some]]).sum(1) >= FEWEST
-            found.append((p[some][near], q[some][near]))
-    x, y = (np.concatenate([f[side] for f in found]) if found else np.empty(0, int) for side in (0, 1))
-    likely = np.concatenate([_plausible(k[x[s : s + 50_000]], k[y[s : s + 50_000]], at["n"][x[s : s + 50_000]], at["n"][y[s : s + 50_000]]) for s in range(0, len(x), 50_000)] or [np.empty(0)])
-    x, y, likely = x[likely >= LEAST], y[likely >= LEAST], likely[likely >= LEAST]
-    # Each row's partners, best first; a pair goes on if either end wants it.
-    ends, others, score = np.r_[x, y], np.r_[y, x], np.r_[likely, likely]
-    order = np.lexsort((at["id"][others], -score, ends))
-    ends, others = ends[order], others[order]
-    first = np.searchsorted(ends, ends)
-    wanted = np.arange(len(ends)) - first < partners
-    more = (np.bincount(ends, minlength=len(group)) > partners)[ends]
-    u, v = at["id"][ends[wanted]], at["id"][others[wanted]]
-    return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64()), pa.array(more[wanted], pa.bool_())], ["u", "v", "more"])
+        for start in range(0, len(p), 20_000):
+            a, b = p[start : start + 20_000], q[start : start + 20_000]
+            same = k[a] == k[b]
+            first = same.reshape(len(a), M // ROWS, ROWS).all(2).argmax(1)
+            near = (same.sum(1) >= FEWEST) & (first == at["band"][a])
+            a, b = a[near], b[near]
+            likely = _plausible(k[a], k[b], at["n"][a], at["n"][b])
+            found.append((a[likely >= LEAST], b[likely >= LEAST], likely[likely >= LEAST]))
+    us, vs = [], []
+    if found:
+        x, y, likely = (np.concatenate([f[side] for f in found]) for side in range(3))
+        data = t.column("shingles")
+        known: dict[int, np.ndarray] = {}
+
+        def of(row: int) -> np.ndarray:
+            if row not in known:
+                packed = np.frombuffer(data[row].as_py(), np.uint8).reshape(-1, 6)
+                known[row] = np.pad(packed, ((0, 0), (0, 2))).view("<u8").reshape(-1)
+            return known[row]
+
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = parent.get(parent[c], parent[c])
+                c = parent[c]
+            return c
+
+        for r in np.argsort(-likely, kind="stable").tolist():
+            a, b = int(x[r]), int(y[r])
+            p, q = root(int(at["component"][a])), root(int(at["component"][b]))
+            if p == q:
+                continue
+            one, two = of(a), of(b)
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            if 100 * both >= PERCENT * (len(one) + len(two) - both):
+                parent[max(p, q)] = min(p, q)
+                us.append(max(int(at["id"][a]), int(at["id"][b])))
+                vs.append(min(int(at["id"][a]), int(at["id"][b])))
+    return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -253,7 +288,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(M // ROWS - 1)), lambda b: F.xxhash64(b, F.substr("sketch", b * width + 1, F.lit(width))))
-    placed = nodes.select("id", F.explode(keys).alias("bucket"))
+    placed = nodes.select("id", F.posexplode(keys).alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1")
     members = scratch.table(placed.join(shared, "bucket"), "buckets")
 
@@ -262,20 +297,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     first = own.groupBy("doc_id").agg(F.min("u").alias("v"))
     repeated = own.join(first, "doc_id").filter("u <> v").select("u", "v")  # rows of one doc_id
     joined = components(_confirmed(_estimated(stars, nodes), docs).union(repeated))
-    partners = 64
-    tried = stars
-    while True:
-        named = members.join(joined, members.id == joined.node, "left").select("bucket", "size", "id", F.coalesce("component", "id").alias("component"))
-        mixed = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-        rows = named.join(mixed, "bucket").join(nodes, "id")
-        pairs = scratch.table(_blocks(rows, partners), "pairs")
-        new = _confirmed(pairs.select("u", "v").join(tried, ["u", "v"], "left_anti"), docs)
-        if not new.isEmpty():
-            joined = components(joined.toDF("u", "v").union(new))
-        if pairs.filter("more").isEmpty():
-            break
-        tried = scratch.table(tried.union(pairs.select("u", "v")).distinct(), "pairs")
-        partners *= 8
+    named = members.join(joined, members.id == joined.node, "left").select("bucket", "band", "size", "id", F.coalesce("component", "id").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
+    open_ = scratch.table(named.join(mixed, "bucket"), "mixed")
+    sets = scratch.table(_sets(open_.select("id").distinct(), docs), "sets")
+    rows = open_.join(nodes, "id").join(sets, "id")
+    new = _confirmed(_blocks(rows), docs)
+    if not new.isEmpty():
+        joined = components(joined.toDF("u", "v").union(new))
+    scratch.drop(sets)
 
     of_group = groups.join(joined, groups.id == joined.node, "left").select("same", F.coalesce("component", "id").alias("_component"))
     out = sketches.select("doc_id", "n_shingles", "same").join(of_group, "same", "left")
