@@ -29,5 +29,5 @@ def test_query_against_sql(spark, name):
     with duckdb.connect() as con:
         for t in TABLES:
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
-        want = con.execute(f"SELECT {', '.join(columns)} FROM ({plans.oracles()[name]}) q").fetchall()
+        want = con.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({plans.oracles()[name]}) q").fetchall()
     assert rows == sorted(map(str, want))
