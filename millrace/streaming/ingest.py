@@ -7,11 +7,14 @@ them together from time to time.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators import ingest, rollups
 from millrace.schemas import METRICS
@@ -77,3 +80,30 @@ def flush(events: DataFrame, now, minutes: int = 5) -> DataFrame:
 def daily_counts(stream: DataFrame, delay: str = "3 days") -> DataFrame:
     """Counts of a stream of events (created_at timestamp, project_id, event) by day, final ``delay`` after it."""
     return stream.withWatermark("created_at", delay).groupBy(F.window("created_at", "1 day"), "project_id", "event").agg(F.count("*").alias("n"))
+
+
+def dedup_views(stream: DataFrame, seconds: int = 5, delay: str = "10 minutes") -> DataFrame:
+    """Drop a device's views within ``seconds`` of its last kept one, over micro-batches too; dropped views do not prolong
+    the window, other events pass. Each device's state is one time, and goes when the watermark is past its window."""
+    window = seconds * 1000
+
+    def keep(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start = state.get[0] if state.exists else None
+        rows = pd.concat(list(parts)).sort_values("created_at", kind="stable")
+        kept = []
+        for event, at in zip(rows["event"], rows["created_at"], strict=True):
+            now = at.value // 1_000_000
+            new = event != "view" or start is None or now - start > window
+            if event == "view" and new:
+                start = now
+            kept.append(new)
+        if start is not None:
+            state.update((start,))
+            state.setTimeoutTimestamp(max(start + window, state.getCurrentWatermarkMs()) + 1)
+        yield rows[kept]
+
+    state = T.StructType([T.StructField("start", T.LongType())])
+    return stream.withWatermark("created_at", delay).groupBy("device_id").applyInPandasWithState(keep, stream.schema, state, "append", GroupStateTimeout.EventTimeTimeout)

@@ -47,3 +47,15 @@ def test_daily_counts(spark, tmp_path):
     query = stream.daily_counts(source).writeStream.format("memory").queryName("daily_counts").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("daily_counts").agg(F.sum("n")).first()[0] == t.events.count()
+
+
+def test_views_are_deduplicated_over_batches(spark, tmp_path):
+    times = [("a", 0, "view"), ("b", 3, "view"), ("c", 6, "view"), ("d", 9, "view"), ("e", 9, "open"), ("f", 20, "view")]
+    for k, half in enumerate((times[:2], times[2:])):
+        rows = [(name, 1, event, f"2024-01-01 00:00:{second:02d}") for name, second, event in half]
+        spark.createDataFrame(rows, "name string, device_id long, event string, at string").coalesce(1).write.mode("append").json(str(tmp_path / "in" / str(k)))
+    source = spark.readStream.schema("name string, device_id long, event string, at string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "*"))
+    events = source.select("name", "device_id", "event", F.to_timestamp("at").alias("created_at"))
+    query = stream.dedup_views(events).writeStream.format("memory").queryName("kept_views").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {r.name for r in spark.table("kept_views").collect()} == {"a", "c", "e", "f"}
