@@ -41,7 +41,7 @@ GROUP = 2_000_000
 BUCKET = 400
 CHUNK_BYTES = 4 << 20
 #: Suffixes that a task gathers before it sends them on (about 60 bytes each while they are sorted).
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 class Suffixes:
