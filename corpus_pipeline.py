@@ -18,6 +18,8 @@ ORACLE_SQL = None
 
 #: Ids of removed documents that may be broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+#: Similarity of word shingles from which documents are near-duplicates here; op3 has a limit of its own.
+NEAR_PERCENT = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-duplicates stays."""
-    gone = scratch.table(minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "gone")
+    gone = scratch.table(minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept").select("doc_id").distinct(), "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -8,10 +8,10 @@ stops as soon as it can lower none, so a set costs its size and a few hundred dr
 
 1. Documents with the same words are one node; the least doc_id stands for them.
 2. Bands of ROWS registers put nodes into buckets. At the lowest similarity that is linked, a pair shares
-   no bucket with a probability of 6e-11.
+   no bucket with a probability of 6e-11 at 85 percent and of 5e-8 at 80.
 3. Every node is paired with the least node of each of its buckets. A pair goes on if its sizes allow the
-   similarity and the likelihood of the registers' order, given both sizes, peaks at LEAST or more (over five
-   standard deviations below the limit); links are then confirmed on the full sets.
+   similarity and the likelihood of the registers' order, given both sizes, peaks at LEAST of that limit or more
+   (over five standard deviations below it); links are then confirmed on the full sets.
 4. Buckets that still hold more than one component are searched in blocks of BLOCK x BLOCK nodes, which carry their
    sets. A pair is looked at in the first band that it shares, passes the same tests, and its sets are intersected
    there; of the links a block finds, those that join components go on, so a block gives at most one link a
@@ -38,11 +38,13 @@ from millrace.llm.components import components
 from millrace.llm.words import mix, window_hashes, word_hashes
 
 WORDS = 5
+#: The lowest similarity that is linked, unless near_duplicates is asked for another.
 PERCENT = 85
 M, ROWS = 128, 4
 B, A, LIMIT = 1.001, 20.0, 65535
-LEAST = 0.68
-#: Equal registers below which a pair is not looked at further; the limit gives 109 on average.
+#: Estimates below which a pair is not confirmed, by the limit in percent.
+LEAST = {85: 0.68, 80: 0.55}
+#: Equal registers below which a pair is not looked at further; the limits give 109 and 102 on average.
 FEWEST = 64
 BLOCK = 512
 KEPT = np.uint64(2**48 - 1)
@@ -128,27 +130,27 @@ def _plausible(x: np.ndarray, y: np.ndarray, n: np.ndarray, o: np.ndarray) -> np
     return similarity(more, less, M - more - less, n.astype(float), o.astype(float))
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose sizes and registers allow the similarity."""
     side = lambda s: nodes.select(F.col("id").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"k_{s}"))
-    joined = pairs.join(side("v"), "v").join(side("u"), "u").filter(_sizes("n_u", "n_v"))
+    joined = pairs.join(side("v"), "v").join(side("u"), "u").filter(_sizes("n_u", "n_v", percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                good = _plausible(_matrix(batch.column("k_u")), _matrix(batch.column("k_v")), get("n_u"), get("n_v")) >= LEAST
+                good = _plausible(_matrix(batch.column("k_u")), _matrix(batch.column("k_v")), get("n_u"), get("n_v")) >= LEAST[percent]
                 yield batch.select(["u", "v"]).filter(pa.array(good))
 
     return joined.mapInArrow(run, "u long, v long").distinct()
 
 
-def _sizes(n: str, o: str):
-    return F.least(n, o) * 100 >= F.greatest(n, o) * PERCENT
+def _sizes(n: str, o: str, percent: int):
+    return F.least(n, o) * 100 >= F.greatest(n, o) * percent
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) with 100 * intersection >= PERCENT * union of their documents' full sets."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) with 100 * intersection >= percent * union of their documents' full sets."""
     pairs = scratch.table(pairs, "pairs")
     ids = scratch.table(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "ids")
     if ids.count() <= BROADCAST_ROWS:
@@ -172,7 +174,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for u, v, text_u, text_v in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "text_u", "text_v")), strict=True):
                 x, y = of(u, text_u), of(v, text_v)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(bool(both) and 100 * both >= PERCENT * (len(x) + len(y) - both))
+                good.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     links = scratch.table(joined.mapInArrow(run, "u long, v long").distinct(), "links")
@@ -194,7 +196,7 @@ def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "id long, shingles binary")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, percent: int) -> DataFrame:
     """From (bucket, band, size, id, n, sketch, component, shingles): links (u, v) between different components."""
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), count).cast("int")
@@ -211,15 +213,15 @@ def _blocks(rows: DataFrame) -> DataFrame:
                 keys = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
                 whole = int(np.flatnonzero((keys == keys[-1]).all(1))[0])  # the last group may go on
                 if whole:
-                    yield _joining(t.slice(0, whole))
+                    yield _joining(t.slice(0, whole), percent)
                 left = t.slice(whole)
         if left is not None and left.num_rows:
-            yield _joining(left)
+            yield _joining(left, percent)
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def _joining(t: pa.Table) -> pa.RecordBatch:
+def _joining(t: pa.Table, percent: int) -> pa.RecordBatch:
     """Of the links within each group of rows sorted by (bucket, i, j), those that join components, likeliest first."""
     at = {c: t.column(c).to_numpy() for c in ("id", "n", "component", "_b", "bucket", "i", "j", "band")}
     k = _matrix(t.column("sketch"))
@@ -232,7 +234,7 @@ def _joining(t: pa.Table) -> pa.RecordBatch:
         x = x[group[x] == group[x + apart]]
         y = x + apart
         n, o = at["n"][x], at["n"][y]
-        ok = (at["component"][x] != at["component"][y]) & (100 * np.minimum(n, o) >= PERCENT * np.maximum(n, o))
+        ok = (at["component"][x] != at["component"][y]) & (100 * np.minimum(n, o) >= percent * np.maximum(n, o))
         ok &= ~across[x] | (at["_b"][x] != at["_b"][y])
         p, q = x[ok], y[ok]
         for start in range(0, len(p), 20_000):
@@ -242,7 +244,8 @@ def _joining(t: pa.Table) -> pa.RecordBatch:
             near = (same.sum(1) >= FEWEST) & (first == at["band"][a])
             a, b = a[near], b[near]
             likely = _plausible(k[a], k[b], at["n"][a], at["n"][b])
-            found.append((a[likely >= LEAST], b[likely >= LEAST], likely[likely >= LEAST]))
+            good = likely >= LEAST[percent]
+            found.append((a[good], b[good], likely[good]))
     us, vs = [], []
     if found:
         x, y, likely = (np.concatenate([f[side] for f in found]) for side in range(3))
@@ -270,15 +273,15 @@ def _joining(t: pa.Table) -> pa.RecordBatch:
                 continue
             one, two = of(a), of(b)
             both = len(np.intersect1d(one, two, assume_unique=True))
-            if 100 * both >= PERCENT * (len(one) + len(two) - both):
+            if 100 * both >= percent * (len(one) + len(two) - both):
                 parent[max(p, q)] = min(p, q)
                 us.append(max(int(at["id"][a]), int(at["id"][b])))
                 vs.append(min(int(at["id"][a]), int(at["id"][b])))
     return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row, linked from a similarity of ``percent`` (one of LEAST) up."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketches = scratch.table(sketch(df, key, text), "sketches")
     groups = sketches.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"))
@@ -296,13 +299,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     own = sketches.filter("doc_id is not null").join(groups, "same").select("doc_id", F.col("id").alias("u")).distinct()
     first = own.groupBy("doc_id").agg(F.min("u").alias("v"))
     repeated = own.join(first, "doc_id").filter("u <> v").select("u", "v")  # rows of one doc_id
-    joined = components(_confirmed(_estimated(stars, nodes), docs).union(repeated))
+    joined = components(_confirmed(_estimated(stars, nodes, percent), docs, percent).union(repeated))
     named = members.join(joined, members.id == joined.node, "left").select("bucket", "band", "size", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
     open_ = scratch.table(named.join(mixed, "bucket"), "mixed")
     sets = scratch.table(_sets(open_.select("id").distinct(), docs), "sets")
     rows = open_.join(nodes, "id").join(sets, "id")
-    new = _confirmed(_blocks(rows), docs)
+    new = _confirmed(_blocks(rows, percent), docs, percent)
     if not new.isEmpty():
         joined = components(joined.toDF("u", "v").union(new))
     scratch.drop(sets)
