@@ -24,20 +24,22 @@ SELECT p_partkey AS link_id, 1 + p_partkey % 3 AS project_id,
        p_name AS name, p_type AS title, concat('p', CAST(p_partkey AS STRING)) AS path, split(p_name, ' ') AS tags,
        p_size % 10 <> 0 AS active, p_size % 4 = 0 AS sdk_generated,
        CASE p_size % 3 WHEN 0 THEN 'google' WHEN 1 THEN 'meta' ELSE NULL END AS ads_platform
-FROM part WHERE p_partkey < 120""",
+FROM part""",
     "a_campaigns": """
 SELECT CAST(n_nationkey AS BIGINT) AS campaign_id, CAST(1 + n_nationkey % 3 AS BIGINT) AS project_id, n_name AS name,
        n_nationkey % 8 = 7 AS archived
-FROM nation WHERE n_nationkey < 24""",
+FROM nation""",
     "a_events": """
 SELECT event_id, ts AS created_at, CAST(ts AS DATE) AS event_date, user_id AS device_id, 1 + user_id % 3 AS project_id,
        CASE event_type WHEN 'view' THEN 'view' WHEN 'click' THEN CASE event_id % 2 WHEN 0 THEN 'open' ELSE 'app_open' END WHEN 'signup' THEN CASE event_id % 4 WHEN 0 THEN 'reinstall' WHEN 1 THEN 'reactivation' ELSE 'install' END ELSE 'time_spent' END AS event,
-       CASE WHEN event_id % 7 = 0 THEN NULL ELSE ((event_id + user_id) % 40) * 3 + user_id % 3 END AS link_id,
+       CASE WHEN event_id % 7 = 0 THEN NULL ELSE ((event_id + user_id) % own_links) * 3 + user_id % 3 END AS link_id,
        CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(round(value * 100) AS BIGINT) END AS engagement_time
-FROM events WHERE event_type <> 'purchase'""",
+FROM events
+LEFT JOIN (SELECT p_partkey % 3 AS part_rest, count(*) AS own_links FROM part GROUP BY p_partkey % 3) own ON part_rest = user_id % 3
+WHERE event_type <> 'purchase'""",
     "a_purchase_events": """
 SELECT event_id, ts AS date, 1 + user_id % 3 AS project_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE user_id END AS device_id,
-       CASE WHEN event_id % 6 = 0 THEN NULL ELSE ((event_id + user_id) % 40) * 3 + user_id % 3 END AS link_id,
+       CASE WHEN event_id % 6 = 0 THEN NULL ELSE ((event_id + user_id) % own_links) * 3 + user_id % 3 END AS link_id,
        CASE (event_id + user_id) % 10 WHEN 0 THEN 'refund' WHEN 1 THEN 'cancel' WHEN 2 THEN 'refund_reversed' ELSE 'buy' END AS event_type,
        concat('prod_', CAST(event_id % 7 AS STRING)) AS product_id, CAST(round(value * 100) AS BIGINT) AS usd_price_cents,
        CAST(1 + event_id % 3 AS INT) AS quantity, event_id % 2 = 0 AS store,
@@ -45,7 +47,9 @@ SELECT event_id, ts AS date, 1 + user_id % 3 AS project_id, CASE WHEN event_id %
        CASE event_id % 4 WHEN 0 THEN 'apple' WHEN 2 THEN 'google' ELSE NULL END AS store_source,
        CASE event_id % 3 WHEN 0 THEN 'subscription' WHEN 1 THEN 'one_time' ELSE NULL END AS purchase_type,
        concat('o_', CAST(user_id AS STRING), '_', CAST(event_id % 7 AS STRING)) AS original_transaction_id
-FROM events WHERE event_type = 'purchase'""",
+FROM events
+LEFT JOIN (SELECT p_partkey % 3 AS part_rest, count(*) AS own_links FROM part GROUP BY p_partkey % 3) own ON part_rest = user_id % 3
+WHERE event_type = 'purchase'""",
 }
 
 
@@ -61,10 +65,12 @@ class Tables:
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    source = {"a_links": "part", "a_campaigns": "nation"}
 
     def view(name: str) -> DataFrame:
-        raw = source.get(name, "events")
-        return spark.sql(VIEWS[name].replace(f"FROM {raw}", "FROM {raw}"), raw=read(raw))
+        text = VIEWS[name]
+        raws = [raw for raw in ("events", "part", "nation") if f"FROM {raw}" in text]
+        for raw in raws:
+            text = text.replace(f"FROM {raw}", f"FROM {{{raw}}}")
+        return spark.sql(text, **{raw: read(raw) for raw in raws})
 
     return Tables(*(view(x) for x in ("a_devices", "a_visitors", "a_links", "a_campaigns", "a_events", "a_purchase_events")))
