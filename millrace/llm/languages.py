@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from millrace.llm.arrow import slices
 
 DOCUMENTS, TRAIN_WORDS, ROUNDS = 1500, 240_000, 4
-SEGMENT, LONGEST = 24, 10
+SEGMENT, LONGEST = 24, 16
 UNKNOWN, SMOOTHING = 1e-7, 0.05
 #: Words that a worker remembers; then it starts again.
 CACHE_WORDS = 1_000_000
