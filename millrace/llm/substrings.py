@@ -1,150 +1,284 @@
 """Repeated passages by prefix-partitioned suffix trees.
 
 A passage is WINDOW consecutive words of one document. Words that a passage covers go if the passage also
-starts in a document with a smaller doc_id. The suffixes (one for each word at which a window starts) are split
-by prefixes of variable length into groups that fit in memory, and each group's tree is cut at WINDOW words,
-since nodes below need not be told apart; a node of that depth with leaves in several documents is
-a repeat, and runs of such nodes along a document are its maximal repeats.
-
-1. Suffixes are counted by the hash of their first 1, 2 and 4 words. A suffix belongs to its shortest prefix with
-   GROUP suffixes at most; what has none is grouped by all WINDOW words. The driver gets the counts, of which
-   there are 3 * 2**bits, with bits from the size of the text.
-2. Every FLUSH suffixes, a task sends every group the nodes that it has seen (a 64-bit hash of the path; with the prefix
-   that two paths must share, they differ in fact if they differ here) and the least doc_id of each node, so a
-   passage that stands in a third of all documents is one entry each time.
-3. A group sorts its nodes, and gives back those that have a smaller doc_id elsewhere, packed by a hash of the
-   doc_id; documents meet their nodes in buckets of about BUCKET rows, and covered words are cut out.
-
-Null and empty texts have no words. Rows with equal doc_id do not count as smaller, a null doc_id neither gives nor
-loses passages. Other columns pass through; n_words, n_removed and kept replace columns of the same name.
+starts in a document with a smaller doc_id.
+
+1. A passage is filed under one suffix that starts in it, its anchor: of the places at which a prefix of the greatest
+   length still fits into the passage, the one whose prefix has the least hash. Equal passages have equal anchors, and
+   some five passages in a row share one, so they travel as one segment of text and not as one window each.
+2. Anchors are counted by the hash of their first 1, 2 and 4 words. A segment belongs to its anchor's shortest prefix
+   that has GROUP passages at most; passages without such a prefix are filed one by one by all their words. The driver
+   gets the prefixes that have more.
+3. Every FLUSH passages, a task keeps those with the least doc_id of equal ones (equal hashes are compared word by
+   word), and sends each group the segments of those. The others already have a smaller doc_id in sight and do not go to the group, so a
+   passage that stands in a third of all documents is one document's entry each time.
+4. A group sorts the suffixes of its segments, takes the common prefixes of neighbours, and has with them the tree's
+   internal nodes. Leaves below a node WINDOW words deep or more are repeats, unless they are of the least
+   doc_id there. Repeats in a row are joined along their segment, and further along the document: its maximal repeats.
+5. The maximal repeats, as places in a document, meet the documents in buckets of about BUCKET rows.
+
+Null and empty texts have no words and lose none. Texts are read whole; words of over LONG bytes stand by a 256-bit
+digest. Ties: rows with equal doc_id do not count as smaller, so repeated rows keep what they share, and lose
+alike what smaller ones have. A null doc_id neither gives nor loses passages. An empty table gives an empty one. All
+columns of the input pass through, whatever their names, but for those that the result's own three replace: n_words,
+n_removed and kept, with ``prefix`` before them.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.arrow import slices
-from millrace.llm.words import mix, window_hashes, word_hashes
+from millrace.llm.names import column, packed, unpacked
+from millrace.llm.words import mix, window_hashes
 
 WINDOW = 13
 PREFIXES = (1, 2, 4)
-#: Suffixes that a group of short prefixes may have (about 40 bytes each while it is sorted).
-GROUP = 2_000_000
+#: Passages that a group of short prefixes may have (about 150 bytes each while they are sorted).
+GROUP = 1_000_000
 BUCKET = 400
 CHUNK_BYTES = 4 << 20
-#: Suffixes that a task gathers before it sends them on (about 60 bytes each while they are sorted).
+#: Passages that a task gathers before it sends them on (about 80 bytes each while they are sorted).
 FLUSH = 1_000_000
+#: Bytes of a word that are kept as they are.
+LONG = 64
+#: Groups that take the places that need no tree.
+DIRECT = 4096
 
 
 class Suffixes:
-    """The suffixes of some documents that have a whole window: start, path hash, document."""
-
-    def __init__(self, texts: list[str | None], window: int):
-        split = [(x or "").encode().split() for x in texts]
-        self.words = split
-        counts = np.array([len(x) for x in split], np.int64)
-        self.ends = np.cumsum(counts)
-        self.begins = self.ends - counts
-        self.hashes = word_hashes([w for x in split for w in x])
-        owner = np.repeat(np.arange(len(split)), counts)
-        n = max(0, len(self.hashes) - window + 1)
+    """Documents of some batches: words by number, and the places at which a passage starts."""
+
+    def __init__(self, window: int):
+        self.window, self.reach = window, max(1, window - max(PREFIXES) + 1)
+        self.numbers: dict[bytes, int] = {}
+        self.parts: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.tags: list[np.ndarray] = []
+        self.seen: set[tuple[int, int]] = set()
+        self.waiting = 0
+
+    def add(self, texts: list[str | None], keys: list[int | None]) -> None:
+        """Documents without a key have no passages, and rows with one key and text have the same places."""
+        known, numbers, counts, tags = self.numbers, [], [], []
+        for text, key in zip(texts, keys, strict=True):
+            words = (text or "").encode().split() if key is not None else []
+            tags.append(tag(text) if len(words) >= self.window else 0)
+            if len(words) < self.window or (key, tags[-1]) in self.seen:
+                words = []
+            else:
+                self.seen.add((key, tags[-1]))
+            if words and max(map(len, words)) > LONG:
+                words = [shortened(w) for w in words]
+            numbers += [known.setdefault(w, len(known)) for w in words]
+            counts.append(len(words))
+            self.waiting += max(0, len(words) - self.window + 1)
+        self.parts.append(np.array(numbers, np.int32))
+        self.counts.append(np.array(counts, np.int64))
+        self.keys.append(np.array([0 if k is None else k for k in keys], np.int64))
+        self.tags.append(np.array(tags, np.uint64))
+
+    def close(self) -> None:
+        """Lay out what was added: for every passage its document, start, anchor and hash."""
+        w = self.window
+        self.words = np.concatenate([*self.parts, np.empty(0, np.int32)])
+        counts = np.concatenate([*self.counts, np.empty(0, np.int64)])
+        self.key = np.concatenate([*self.keys, np.empty(0, np.int64)])
+        self.tag = np.concatenate([*self.tags, np.empty(0, np.uint64)])
+        self.begin = np.cumsum(counts) - counts
+        owner = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        n = max(0, len(self.words) - w + 1)
         self.start = np.flatnonzero(owner[:n] == owner[len(owner) - n :]) if n else np.empty(0, np.int64)
         self.document = owner[self.start]
-        self.path = window_hashes(self.hashes, window)[self.start] if n else np.empty(0, np.uint64)
-
-    def prefix(self, words: int, bits: int) -> np.ndarray:
-        """The bin of every suffix's first words."""
+        own = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, self.numbers)), ">u8").astype(np.uint64)
+        self.hashes = own[self.words] if len(self.words) else np.empty(0, np.uint64)
+        self.path = window_hashes(self.hashes, w)[self.start] if n else np.empty(0, np.uint64)
+        first = window_hashes(self.hashes, min(w, max(PREFIXES)))
+        best, at = first[self.start], np.zeros(len(self.start), np.int64)
+        for k in range(1, self.reach):
+            other = first[self.start + k]
+            less = other < best
+            best, at = np.where(less, other, best), np.where(less, k, at)
+        self.anchor = self.start + at
+
+    def prefix(self, length: int, bits: int) -> np.ndarray:
+        """The bin of the first words of every passage's anchor."""
         if not len(self.start):
             return np.empty(0, np.int64)
-        return (window_hashes(self.hashes, words)[self.start] >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _keys(batch: pa.RecordBatch, key: str) -> np.ndarray:
-    return np.array([np.iinfo(np.int64).min if x is None else x for x in batch.column(key).to_pylist()], np.int64)
-
-
-_NULL = np.iinfo(np.int64).min
+        return (window_hashes(self.hashes, min(length, self.window))[self.anchor] >> np.uint64(64 - bits)).astype(np.int64)
+
+    def first_of_equal(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which passages have the least key of their equals here; and which have an equal with a smaller one."""
+        key = self.key[self.document]
+        order = np.lexsort((key, self.path))
+        path = self.path[order]
+        new = np.r_[True, path[1:] != path[:-1]][: len(order)]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        again = np.flatnonzero(~new)
+        left, right = self.start[order[again]], self.start[order[head[again]]]
+        same = np.ones(len(again), bool)
+        for k in range(self.window):  # the words themselves, not their hash
+            same &= self.words[left + k] == self.words[right + k]
+        first = np.zeros(len(order), bool)
+        first[order[new]] = True
+        larger = key[order[again]] > key[order[head[again]]]
+        first[order[again]] = ~same | ~larger  # another passage with this hash is for the tree to tell apart
+        later = np.zeros(len(order), bool)
+        later[order[again]] = same & larger
+        return first, later
+
+
+def shortened(word: bytes) -> bytes:
+    """A long word's digest, which starts with a byte that no word has."""
+    return word if len(word) <= LONG else b"\xff" + hashlib.blake2b(word, digest_size=32).hexdigest().encode()
+
+
+def tag(text: str) -> int:
+    """A 64-bit hash of a text, to tell rows with one key apart."""
+    return xxhash.xxh3_64_intdigest(text.encode())
 
 
 def prefix_counts(df: DataFrame, bits: int, window: int) -> DataFrame:
-    """(level, bin, n): the suffixes by hashed prefix."""
+    """(level, bin, n): the passages by hashed prefix of their anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(PREFIXES), 1 << bits), np.int64)
         for batch in slices(batches, "text", CHUNK_BYTES):
-            found = Suffixes(batch.column("text").to_pylist(), window)
-            for level, words in enumerate(PREFIXES):
-                total[level] += np.bincount(found.prefix(words, bits), minlength=1 << bits)
-        level, at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(at, pa.int64()), pa.array(total[level, at], pa.int64())], ["level", "bin", "n"])
+            found = Suffixes(window)
+            found.add(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist())
+            found.close()
+            parts = [np.unique(found.prefix(k, bits), return_counts=True) for k in PREFIXES]
+            level = np.repeat(np.arange(len(PREFIXES), dtype=np.int32), [len(x) for x, _ in parts])
+            yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(np.concatenate([x for x, _ in parts]).astype(np.int64)), pa.array(np.concatenate([n for _, n in parts]).astype(np.int64))], ["level", "bin", "n"])
 
-    return df.select("text").mapInArrow(run, "level int, bin long, n long").groupBy("level", "bin").agg(F.sum("n").alias("n"))
+    return df.select("doc_id", "text").mapInArrow(run, "level int, bin long, n long").groupBy("level", "bin").agg(F.sum("n").alias("n"))
 
 
-def _route(found: Suffixes, hot: np.ndarray, bits: int) -> np.ndarray:
-    """The group of every suffix."""
-    group = ((found.path >> np.uint64(64 - bits)).astype(np.int64)) + (len(PREFIXES) << bits)
+def _route(found: Suffixes, hot: list[np.ndarray], bits: int) -> np.ndarray:
+    """The group of every passage. ``hot`` has for each length the sorted bins with too many passages."""
+    group = (found.path >> np.uint64(64 - bits)).astype(np.int64) + (len(PREFIXES) << bits)
     for level in range(len(PREFIXES) - 1, -1, -1):
         at = found.prefix(PREFIXES[level], bits)
-        cold = ~hot[level][at]
+        cold = ~np.isin(at, hot[level])
         group[cold] = at[cold] + (level << bits)
     return group
 
 
-def _pack(keys: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=np.int64(0)).tobytes())
+def _squeeze(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64))
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.r_[np.flatnonzero(np.r_[True, values[1:] != values[:-1]]), len(values)] if len(values) else np.zeros(1, np.int64)
 
 
-def _packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Rows of (group, sure, paths, keys) from some chunks' paths, keys and groups."""
-    path, key, group = (np.concatenate([x[k] for x in held]) for k in range(3))
-    order = np.lexsort((key, path))
-    path, key, group = path[order], key[order], group[order]
-    first = np.r_[True, path[1:] != path[:-1]][: len(path)]
-    least = key[np.flatnonzero(first)][np.cumsum(first) - 1]
-    new_key = np.r_[True, key[1:] != key[:-1]][: len(path)]
-    out: tuple[list, list, list, list] = ([], [], [], [])
-    for sure, chosen in ((False, first), (True, ~first & new_key & (key > least))):
-        some = np.flatnonzero(chosen)
-        some = some[np.lexsort((key[some], group[some]))]  # rising keys pack well
-        g = group[some]
-        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b > a:
-                for column, value in zip(out, (int(g[a]), sure, path[some[a:b]].tobytes(), _pack(key[some[a:b]])), strict=True):
-                    column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["group", "sure", "paths", "keys"])
+_ROW = pa.schema([("group", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("tags", pa.binary()), ("starts", pa.binary()), ("text", pa.binary())])
 
 
-def _nodes(df: DataFrame, hot: np.ndarray, bits: int, window: int) -> DataFrame:
-    """(group, sure, paths, keys): each chunk's nodes by group with the least key; and, as sure, the other keys that
-    have a node with a smaller key in their chunk."""
+def _sent(found: Suffixes, hot: list[np.ndarray], bits: int, direct: int) -> pa.RecordBatch:
+    """For each group its segments; and, under ``direct``, the places that need no tree, with their lengths for a text."""
+    first, later = found.first_of_equal()
+    group = _route(found, hot, bits)
+    words = list(found.numbers)
+    own = found.start - found.begin[found.document]
+    rows: list[tuple] = []
+
+    some = np.flatnonzero(first)
+    anchor = np.where(group[some] >= len(PREFIXES) << bits, found.start[some], found.anchor[some])
+    joined = (found.start[some][1:] == found.start[some][:-1] + 1) & (anchor[1:] == anchor[:-1]) & (found.document[some][1:] == found.document[some][:-1])
+    heads = np.flatnonzero(np.r_[True, ~joined][: len(some)])
+    ends = np.r_[heads[1:], len(some)][: len(heads)] - 1
+    heads, ends = some[heads], some[ends]
+    order = np.lexsort((found.start[heads], group[heads]))
+    heads, ends = heads[order], ends[order]
+    cuts = _cuts(group[heads])
+    numbers = found.words.tolist()
+    from_, to = found.start[heads].tolist(), (found.start[ends] + found.window).tolist()
+    texts = [b" ".join([words[x] for x in numbers[a:b]]) for a, b in zip(from_, to, strict=True)]
+    squeezer = zstandard.ZstdCompressor(level=1)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        at, document = heads[a:b], found.document[heads[a:b]]
+        rows.append((int(group[heads[a]]), b - a, _squeeze(found.key[document]), _squeeze(found.tag[document]), _squeeze(own[at].astype(np.uint32)), squeezer.compress(b"\n".join(texts[a:b]))))
+
+    some = np.flatnonzero(later)
+    if len(some):
+        joined = (found.start[some][1:] == found.start[some][:-1] + 1) & (found.document[some][1:] == found.document[some][:-1])
+        heads = np.flatnonzero(np.r_[True, ~joined][: len(some)])
+        lengths = np.diff(np.r_[heads, len(some)])
+        document = found.document[some[heads]]
+        rows.append((direct, len(heads), _squeeze(found.key[document]), _squeeze(found.tag[document]), _squeeze(own[some[heads]].astype(np.uint32)), _squeeze(lengths.astype(np.uint32))))
+    return pa.RecordBatch.from_pylist([dict(zip(_ROW.names, r, strict=True)) for r in rows], schema=_ROW)
+
+
+def _segments(df: DataFrame, hot: list[np.ndarray], bits: int, window: int) -> DataFrame:
+    """(group, n, keys, tags, starts, text): segments by group, places by a group below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found, salt = Suffixes(window), 0
         for batch in slices(batches, "text", CHUNK_BYTES):
-            keys = _keys(batch, "doc_id")
-            found = Suffixes([None if k == _NULL else t for t, k in zip(batch.column("text").to_pylist(), keys.tolist(), strict=True)], window)
-            held.append((found.path, keys[found.document], _route(found, hot, bits)))
-            if sum(len(x[0]) for x in held) >= FLUSH:
-                yield _packed(held)
-                held = []
-        if held:
-            yield _packed(held)
-
-    return df.select("doc_id", "text").mapInArrow(run, "group long, sure boolean, paths binary, keys binary")
+            found.add(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist())
+            if found.waiting >= FLUSH:
+                found.close()
+                salt = (salt + int(found.tag.sum() % DIRECT) + 1) % DIRECT
+                yield _sent(found, hot, bits, -1 - salt)
+                found = Suffixes(window)
+        if found.waiting:
+            found.close()
+            yield _sent(found, hot, bits, -1 - (salt + int(found.tag.sum() % DIRECT) + 1) % DIRECT)
+
+    return df.select("doc_id", "text").mapInArrow(run, "group long, n long, keys binary, tags binary, starts binary, text binary")
+
+
+class Tree:
+    """The suffix tree over the segments of a group, cut at ``window`` words: leaves in order, and how many words
+    each has in common with the one before."""
+
+    def __init__(self, segments: list[bytes], window: int):
+        numbers: dict[bytes, int] = {}
+        split = [x.split() for x in segments]
+        words = np.array([numbers.setdefault(w, len(numbers)) for x in split for w in x], np.uint64)
+        counts = np.array([len(x) for x in split], np.int64)
+        begin = np.cumsum(counts) - counts
+        leaves = counts - window + 1
+        self.segment = np.repeat(np.arange(len(split)), leaves)
+        self.offset = np.arange(len(self.segment)) - np.repeat(np.cumsum(leaves) - leaves, leaves)
+        start = begin[self.segment] + self.offset
+        bits = max(1, int(len(numbers)).bit_length())
+        each = 64 // bits
+        columns = []
+        for a in range(0, window, each):
+            packed_words = np.zeros(len(start), np.uint64)
+            for k in range(a, min(a + each, window)):
+                packed_words = (packed_words << np.uint64(bits)) | words[start + k]
+            columns.append(packed_words)
+        self.order = np.lexsort(columns[::-1])
+        self.common = np.zeros(len(start), np.int8)
+        alike = np.ones(max(0, len(start) - 1), bool)
+        at = start[self.order]
+        for k in range(window):
+            if not alike.any():
+                break
+            alike &= words[at[1:] + k] == words[at[:-1] + k]
+            self.common[1:] += alike
+
+    def deep(self, depth: int) -> np.ndarray:
+        """The number, in order, of each leaf's highest node that is ``depth`` words deep (a leaf alone is its own)."""
+        return np.cumsum(self.common < depth) - 1
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -153,84 +287,93 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (folded % np.uint64(buckets)).astype(np.int64)
 
 
-def _bucket_column(key: Column, buckets: int) -> Column:
-    """The same on the JVM's side; null keys stand with 0."""
-    key = F.coalesce(key, F.lit(0).cast("long"))
-    return key.bitwiseXOR(F.shiftrightunsigned(key, 17)).bitwiseAND(F.lit(2**63 - 1)) % F.lit(buckets).cast("long")
+def _bucket_column(key: Column, text: Column, buckets: int) -> Column:
+    """The same on the JVM's side; rows without a key, which meet nothing, are spread by their text."""
+    own = F.coalesce(key, F.xxhash64(text))
+    return own.bitwiseXOR(F.shiftrightunsigned(own, 17)).bitwiseAND(F.lit(2**63 - 1)) % F.lit(buckets).cast("long")
+
 
+_PLACES = "bucket long, keys binary, tags binary, starts binary, lengths binary"
 
-def _repeats(nodes: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, paths, keys): nodes that have a smaller key somewhere, by a hash of the key."""
+
+def _places(segments: DataFrame, buckets: int, window: int) -> DataFrame:
+    """(bucket, keys, tags, starts, lengths): the maximal repeats, in passages, by a hash of the key."""
 
     def run(t: pa.Table) -> pa.Table:
-        out_paths, out_keys, paths, keys = [], [], [], []
-        for sure, path, key in zip(t.column("sure").to_pylist(), t.column("paths").to_pylist(), t.column("keys").to_pylist(), strict=True):
-            for column, value in zip((out_paths, out_keys) if sure else (paths, keys), (np.frombuffer(path, np.uint64), _unpack(key)), strict=True):
-                column.append(value)
-        if len(paths) > 1:
-            path, key = np.concatenate(paths), np.concatenate(keys)
-            order = np.lexsort((key, path))
-            path, key = path[order], key[order]
-            first = np.r_[True, path[1:] != path[:-1]]
-            least = key[np.flatnonzero(first)][np.cumsum(first) - 1]
-            repeated = key > least
-            out_paths.append(path[repeated])
-            out_keys.append(key[repeated])
-        path = np.concatenate([*out_paths, np.empty(0, np.uint64)])
-        key = np.concatenate([*out_keys, np.empty(0, np.int64)])
-        at = _bucket(key, buckets)
-        order = np.lexsort((key, at))
-        path, key, at = path[order], key[order], at[order]
-        cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)] if len(at) else [0]
-        rows = [(int(at[a]), path[a:b].tobytes(), _pack(key[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "paths": pa.array([r[1] for r in rows], pa.binary()), "keys": pa.array([r[2] for r in rows], pa.binary())})
-
-    return nodes.groupBy("group").applyInArrow(run, "bucket long, paths binary, keys binary")
-
-
-def covered(found: Suffixes, repeated: np.ndarray, window: int) -> np.ndarray:
-    """Which of the words the windows at these suffixes cover."""
-    edges = np.zeros(len(found.hashes) + 1, np.int64)
-    starts = found.start[repeated]
+        sent = {c: t.column(c).to_pylist() for c in ("keys", "tags", "starts", "text")}
+        key, tags, start = (np.concatenate([_numbers(x, kind) for x in sent[c]]) for c, kind in (("keys", "<i8"), ("tags", "<u8"), ("starts", "<u4")))
+        if t.column("group")[0].as_py() < 0:
+            length = np.concatenate([_numbers(x, "<u4") for x in sent["text"]])
+        else:
+            unpacker = zstandard.ZstdDecompressor()
+            tree = Tree([s for x in sent.pop("text") for s in unpacker.decompress(x).split(b"\n")], window)
+            node = tree.deep(window)
+            leaf_key = key[tree.segment[tree.order]]
+            least = np.minimum.reduceat(leaf_key, _cuts(node)[:-1])
+            repeated = np.zeros(len(node), bool)
+            repeated[tree.order] = leaf_key > least[node]
+            some = np.flatnonzero(repeated)
+            joined = (tree.segment[some][1:] == tree.segment[some][:-1]) & (tree.offset[some][1:] == tree.offset[some][:-1] + 1)
+            heads = np.flatnonzero(np.r_[True, ~joined][: len(some)])
+            length = np.diff(np.r_[heads, len(some)]).astype(np.uint32) if len(some) else np.empty(0, np.uint32)
+            heads = some[heads]
+            key, tags, start = key[tree.segment[heads]], tags[tree.segment[heads]], start[tree.segment[heads]] + tree.offset[heads].astype(np.uint32)
+        bucket = _bucket(key, buckets)
+        order = np.lexsort((start, tags, key, bucket))
+        cuts = _cuts(bucket[order])
+        made = [[int(bucket[order[a]]), *[_squeeze(x[order[a:b]]) for x in (key, tags, start, length)]] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        return pa.table({n: pa.array([m[k] for m in made], kind) for k, (n, kind) in enumerate([("bucket", pa.int64()), ("keys", pa.binary()), ("tags", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary())])})
+
+    return segments.groupBy("group").applyInArrow(run, _PLACES)
+
+
+def covered(n: int, starts: np.ndarray, lengths: np.ndarray, window: int) -> np.ndarray:
+    """Which of n words runs of passages cover."""
+    edges = np.zeros(n + 1, np.int64)
     np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + window, -1)
+    np.add.at(edges, np.minimum(starts + lengths + window - 1, n), -1)
     return np.cumsum(edges[:-1]) > 0
 
 
-def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP) -> DataFrame:
+def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, group: int = GROUP, prefix: str = "") -> DataFrame:
     """Add n_words, n_removed and kept (the words that stay, joined by one space) to every row."""
-    slim = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    slim = df.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     rows, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    bits = min(20, max(4, math.ceil(math.log2(1 + size / 5 / group))))
-    hot = np.zeros((len(PREFIXES), 1 << bits), bool)
-    for level, at, n in prefix_counts(slim, bits, window).filter(F.col("n") > group).collect():
-        hot[level][at] = True
+    bits = max(4, math.ceil(math.log2(1 + size / 4 / group)))
+    hot: list[list[int]] = [[] for _ in PREFIXES]
+    for level, at, _ in prefix_counts(slim, bits, window).filter(F.col("n") > group).collect():  # size / group at most of each length
+        hot[level].append(at)
     buckets = max(1, rows // BUCKET) | 1
-    repeats = _repeats(_nodes(slim, hot, bits, window), buckets)
-
-    kept = [f for f in df.schema.fields if f.name not in ("n_words", "n_removed", "kept")]
-    names = [f.name for f in kept]
-    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-
-    def run(docs: pa.Table, nodes: pa.Table) -> pa.Table:
-        docs = docs.drop_columns(["_bucket"]).combine_chunks()
-        keys = np.array([_NULL if x is None else int(x) for x in docs.column(key).to_pylist()], np.int64)
-        pairs = [mix(np.frombuffer(p, np.uint64) ^ mix(_unpack(k).astype(np.uint64))) for p, k in zip(nodes.column("paths").to_pylist(), nodes.column("keys").to_pylist(), strict=True)]
-        flagged = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.uint64)
-        found = Suffixes(docs.column(text).to_pylist(), window)
-        own = mix(found.path ^ mix(keys.astype(np.uint64))[found.document]) if len(found.start) else found.path
-        gone = covered(found, np.isin(own, flagged), window)
+    places = _places(_segments(slim, [np.array(sorted(x), np.int64) for x in hot], bits, window), buckets, window)
+
+    dealt = df.select(packed(df.columns).alias("row"), column(key).cast("long").alias("key"), column(text).cast("string").alias("words"))
+    dealt = dealt.withColumn("bucket", _bucket_column(F.col("key"), F.col("words"), buckets))
+    row = next(f for f in dealt.schema.fields if f.name == "row")
+    schema = T.StructType([row, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        docs = docs.combine_chunks()
+        parts = [[_numbers(x, kind) for x in found.column(c).to_pylist()] for c, kind in (("keys", "<i8"), ("tags", "<u8"), ("starts", "<u4"), ("lengths", "<u4"))]
+        keys, tags, starts, lengths = (np.concatenate([*p, np.empty(0, kind)]) for p, kind in zip(parts, ("<i8", "<u8", "<u4", "<u4"), strict=True))
+        name = mix(keys.astype(np.uint64)) ^ tags
+        order = np.lexsort((starts, name))
+        name, keys, tags, starts, lengths = name[order], keys[order], tags[order], starts[order].astype(np.int64), lengths[order].astype(np.int64)
         n_words, n_removed, texts = [], [], []
-        for words, a, b in zip(found.words, found.begins.tolist(), found.ends.tolist(), strict=True):
-            cut = gone[a:b]
-            removed = int(cut.sum())
-            n_words.append(b - a)
+        for k, t in zip(docs.column("key").to_pylist(), docs.column("words").to_pylist(), strict=True):
+            words = (t or "").encode().split()
+            removed = 0
+            if k is not None and len(words) >= window and len(name):
+                own = int(mix(np.array([k], np.int64).astype(np.uint64))[0]) ^ tag(t)
+                a, b = np.searchsorted(name, np.uint64(own), "left"), np.searchsorted(name, np.uint64(own), "right")
+                some = np.flatnonzero(keys[a:b] == k) + a
+                if len(some):
+                    gone = covered(len(words), starts[some], lengths[some], window)
+                    removed = int(gone.sum())
+            n_words.append(len(words))
             n_removed.append(removed)
-            texts.append(b" ".join([w for w, c in zip(words, cut.tolist(), strict=True) if not c] if removed else words).decode())
-        out = docs.select(names)
-        for name, column in (("n_words", pa.array(n_words, pa.int64())), ("n_removed", pa.array(n_removed, pa.int64())), ("kept", pa.array(texts, pa.string()))):
-            out = out.append_column(name, column)
-        return out
-
-    dealt = df.select(*names).withColumn("_bucket", _bucket_column(F.col(key).cast("long"), buckets))
-    return dealt.groupBy("_bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(run, schema)
+            texts.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed else words).decode())
+        return pa.table({"row": docs.column("row"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(texts, pa.string())})
+
+    made = dealt.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(run, schema)
+    own = {f"{prefix}{c}": F.col(c) for c in ("n_words", "n_removed", "kept")}
+    return made.select(*unpacked("row", [c for c in df.columns if c not in own]), *[c.alias(n) for n, c in own.items()])

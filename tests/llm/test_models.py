@@ -28,10 +28,15 @@ def base(text):
     return n, sum(map(len, words)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), sum(hit), n < 50 or 100 * sum(hit) > 50 * n
 
 
+def spark_hash(x, seed=42):
+    data = x.encode() if isinstance(x, str) else (x % (1 << 64)).to_bytes(8, "little")
+    found = xxhash.xxh64_intdigest(data, seed)
+    return found - (1 << 64) * (found >> 63)
+
+
 def grams(text):
-    words = WORD.findall(text or "")
-    spark_hash = lambda s: xxhash.xxh64_intdigest(s.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(s.encode(), 42) >> 63)
-    return [spark_hash(a[-3:] + " " + b[:2]) % quality.BUCKETS for a, b in itertools.pairwise(words)]
+    words = [spark_hash(w) for w in WORD.findall(text or "")]
+    return [x % quality.BUCKETS for x in [*words, *(spark_hash(b, spark_hash(a) % (1 << 64)) for a, b in itertools.pairwise(words))]]
 
 
 def quality_documents(seed):
@@ -57,12 +62,18 @@ def test_quality_by_hand(spark):
     trusted = [i for i in range(80) if i % 4 and i % 7]
     ids = spark.createDataFrame([(i,) for i in [*trusted, trusted[0], None, 999]], "id long")
     got = quality.judge(quality_frame(spark, rows).repartition(3), ids).collect()
-    raw, good = Counter(), Counter()
+    raw, good = Counter(), (Counter(), Counter())
     for i, t in rows:
         raw.update(grams(t))
         if i in trusted:
-            good.update(grams(t))
-    ratio = [math.log((good[b] + 1) / (sum(good.values()) + quality.BUCKETS)) - math.log((raw[b] + 1) / (sum(raw.values()) + quality.BUCKETS)) for b in range(quality.BUCKETS)]
+            good[spark_hash(str(i)) % 2].update(grams(t))
+    size = quality.BUCKETS
+    part = lambda x, b: (x[b] + 1) / (sum(x.values()) + size)
+    unseen = [(math.log(part(model, b) / part(raw, b)), n) for model, other in (good, good[::-1]) for b, n in other.items()]
+    mean = sum(x * n for x, n in unseen) / sum(n for _, n in unseen)
+    spread = math.sqrt(sum(n * (x - mean) ** 2 for x, n in unseen) / sum(n for _, n in unseen))
+    threshold = mean - quality.SIGMAS * spread / math.sqrt(99)
+    ratio = [math.log(part(good[0] + good[1], b) / part(raw, b)) for b in range(size)]
     want = {}
     for i, t in rows:
         own = grams(t)
@@ -73,7 +84,7 @@ def test_quality_by_hand(spark):
         w = want[r.doc_id, r.text]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == w[:6]
         assert (r.score is None) == (w[6] is None) and (w[6] is None or abs(r.score - w[6]) < 1e-9)
-        assert r.kept == (not w[5] and (w[6] is None or r.score >= quality.THRESHOLD))
+        assert r.kept == (not w[5] and (w[6] is None or r.score >= threshold))
 
 
 def test_quality_without_trust_or_rows(spark):
