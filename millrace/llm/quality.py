@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from millrace.llm.names import column, packed, unpacked
 from millrace.llm.words import words_column
 
-BITS = 15
+BITS = 17
 BUCKETS = 1 << BITS
-SIGMAS = 3.0
+SIGMAS = 2.0
 MIN_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\x0b\x0c\r"
