@@ -44,8 +44,8 @@ from millrace.llm.words import mix, window_hashes
 
 WINDOW = 13
 PREFIXES = (1, 2, 4)
-#: Passages that a group of short prefixes may have (about 150 bytes each while they are sorted).
-GROUP = 1_000_000
+#: Passages that a group of short prefixes may have (about 100 bytes each while they are sorted).
+GROUP = 2_000_000
 BUCKET = 400
 CHUNK_BYTES = 4 << 20
 #: Passages that a task gathers before it sends them on (about 80 bytes each while they are sorted).
@@ -56,12 +56,21 @@ LONG = 64
 DIRECT = 4096
 
 
+class Numbers(dict):
+    """Words by number, in the order in which they come; a long one counts as its digest."""
+
+    def __missing__(self, word: bytes) -> int:
+        own = shortened(word)
+        number = self[word] = len(self) if own is word else self[own]
+        return number
+
+
 class Suffixes:
     """Documents of some batches: words by number, and the places at which a passage starts."""
 
     def __init__(self, window: int):
         self.window, self.reach = window, max(1, window - max(PREFIXES) + 1)
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = Numbers()
         self.parts: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
@@ -71,7 +80,8 @@ class Suffixes:
 
     def add(self, texts: list[str | None], keys: list[int | None]) -> None:
         """Documents without a key have no passages, and rows with one key and text have the same places."""
-        known, numbers, counts, tags = self.numbers, [], [], []
+        all_words: list[bytes] = []
+        counts, tags = [], []
         for text, key in zip(texts, keys, strict=True):
             words = (text or "").encode().split() if key is not None else []
             tags.append(tag(text) if len(words) >= self.window else 0)
@@ -79,12 +89,10 @@ class Suffixes:
                 words = []
             else:
                 self.seen.add((key, tags[-1]))
-            if words and max(map(len, words)) > LONG:
-                words = [shortened(w) for w in words]
-            numbers += [known.setdefault(w, len(known)) for w in words]
+            all_words += words
             counts.append(len(words))
             self.waiting += max(0, len(words) - self.window + 1)
-        self.parts.append(np.array(numbers, np.int32))
+        self.parts.append(np.fromiter(map(self.numbers.__getitem__, all_words), np.int32, len(all_words)))
         self.counts.append(np.array(counts, np.int64))
         self.keys.append(np.array([0 if k is None else k for k in keys], np.int64))
         self.tags.append(np.array(tags, np.uint64))
@@ -104,13 +112,15 @@ class Suffixes:
         own = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, self.numbers)), ">u8").astype(np.uint64)
         self.hashes = own[self.words] if len(self.words) else np.empty(0, np.uint64)
         self.path = window_hashes(self.hashes, w)[self.start] if n else np.empty(0, np.uint64)
-        first = window_hashes(self.hashes, min(w, max(PREFIXES)))
-        best, at = first[self.start], np.zeros(len(self.start), np.int64)
+        best = window_hashes(self.hashes, min(w, max(PREFIXES)))
+        first, at = best, np.zeros(n, np.int8)
+        best = best[:n].copy()
         for k in range(1, self.reach):
-            other = first[self.start + k]
+            other = first[k : k + n]
             less = other < best
-            best, at = np.where(less, other, best), np.where(less, k, at)
-        self.anchor = self.start + at
+            np.copyto(best, other, where=less)
+            at[less] = k
+        self.anchor = self.start + at[self.start]
 
     def prefix(self, length: int, bits: int) -> np.ndarray:
         """The bin of the first words of every passage's anchor."""
@@ -120,23 +130,21 @@ class Suffixes:
 
     def first_of_equal(self) -> tuple[np.ndarray, np.ndarray]:
         """Which passages have the least key of their equals here; and which have an equal with a smaller one."""
-        key = self.key[self.document]
-        order = np.lexsort((key, self.path))
-        path = self.path[order]
-        new = np.r_[True, path[1:] != path[:-1]][: len(order)]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        again = np.flatnonzero(~new)
+        order = np.argsort(self.path, kind="stable")
+        path, key = self.path[order], self.key[self.document[order]]
+        cuts = _cuts(path)
+        sizes = np.diff(cuts)
+        least = np.repeat(np.minimum.reduceat(key, cuts[:-1]), sizes) if len(order) else key
+        head = np.repeat(cuts[:-1], sizes)
+        again = np.flatnonzero(head != np.arange(len(order)))
         left, right = self.start[order[again]], self.start[order[head[again]]]
         same = np.ones(len(again), bool)
         for k in range(self.window):  # the words themselves, not their hash
             same &= self.words[left + k] == self.words[right + k]
+        mixed = np.isin(head, head[again[~same]])  # different passages with one hash are for the tree to tell apart
         first = np.zeros(len(order), bool)
-        first[order[new]] = True
-        larger = key[order[again]] > key[order[head[again]]]
-        first[order[again]] = ~same | ~larger  # another passage with this hash is for the tree to tell apart
-        later = np.zeros(len(order), bool)
-        later[order[again]] = same & larger
-        return first, later
+        first[order] = mixed | (key == least)
+        return first, ~first
 
 
 def shortened(word: bytes) -> bytes:
@@ -157,25 +165,34 @@ def prefix_counts(df: DataFrame, bits: int, window: int) -> DataFrame:
             found = Suffixes(window)
             found.add(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist())
             found.close()
-            parts = [np.unique(found.prefix(k, bits), return_counts=True) for k in PREFIXES]
+            parts = [_counted(found.prefix(k, bits), bits) for k in PREFIXES]
             level = np.repeat(np.arange(len(PREFIXES), dtype=np.int32), [len(x) for x, _ in parts])
             yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(np.concatenate([x for x, _ in parts]).astype(np.int64)), pa.array(np.concatenate([n for _, n in parts]).astype(np.int64))], ["level", "bin", "n"])
 
     return df.select("doc_id", "text").mapInArrow(run, "level int, bin long, n long").groupBy("level", "bin").agg(F.sum("n").alias("n"))
 
 
+def _counted(bins: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bins that there are, and how often."""
+    if bits > 20:
+        return np.unique(bins, return_counts=True)
+    n = np.bincount(bins, minlength=1 << bits)
+    return np.flatnonzero(n), n[n > 0]
+
+
 def _route(found: Suffixes, hot: list[np.ndarray], bits: int) -> np.ndarray:
     """The group of every passage. ``hot`` has for each length the sorted bins with too many passages."""
     group = (found.path >> np.uint64(64 - bits)).astype(np.int64) + (len(PREFIXES) << bits)
     for level in range(len(PREFIXES) - 1, -1, -1):
         at = found.prefix(PREFIXES[level], bits)
-        cold = ~np.isin(at, hot[level])
+        place = np.searchsorted(hot[level], at)
+        cold = np.r_[hot[level], -1][place] != at
         group[cold] = at[cold] + (level << bits)
     return group
 
 
-def _squeeze(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+def _squeeze(values: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values if isinstance(values, bytes) else values.tobytes())
 
 
 def _numbers(data: bytes, kind: str) -> np.ndarray:
@@ -187,46 +204,77 @@ def _cuts(values: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, values[1:] != values[:-1]]), len(values)] if len(values) else np.zeros(1, np.int64)
 
 
-_ROW = pa.schema([("group", pa.int64()), ("n", pa.int64()), ("keys", pa.binary()), ("tags", pa.binary()), ("starts", pa.binary()), ("text", pa.binary())])
+_COLUMNS = ("keys", "tags", "starts", "lengths", "words", "vocabulary")
+_ROW = pa.schema([("group", pa.int64()), *[(c, pa.binary()) for c in _COLUMNS]])
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers with all first bytes first, which pack well, without the planes that are empty."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return _squeeze(planes[: max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)].copy())
+
+
+def _unplaned(data: bytes, n: int) -> np.ndarray:
+    planes = _numbers(data, "u1").reshape(-1, n)
+    out = np.zeros((n, 4), np.uint8)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u4").reshape(-1)
+
+
+def _runs(some: np.ndarray, *alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of passages that follow one another begin in ``some``, and their lengths; ``alike`` is equal within a run."""
+    joined = some[1:] == some[:-1] + 1
+    for x in alike:
+        joined &= x[1:] == x[:-1]
+    heads = np.flatnonzero(np.r_[True, ~joined][: len(some)])
+    return heads, np.diff(np.r_[heads, len(some)]) if len(some) else heads
 
 
 def _sent(found: Suffixes, hot: list[np.ndarray], bits: int, direct: int) -> pa.RecordBatch:
-    """For each group its segments; and, under ``direct``, the places that need no tree, with their lengths for a text."""
+    """For each group its segments, as numbers of words of a vocabulary; and, under ``direct``, the places that need no tree."""
     first, later = found.first_of_equal()
-    group = _route(found, hot, bits)
-    words = list(found.numbers)
-    own = found.start - found.begin[found.document]
     rows: list[tuple] = []
 
     some = np.flatnonzero(first)
-    anchor = np.where(group[some] >= len(PREFIXES) << bits, found.start[some], found.anchor[some])
-    joined = (found.start[some][1:] == found.start[some][:-1] + 1) & (anchor[1:] == anchor[:-1]) & (found.document[some][1:] == found.document[some][:-1])
-    heads = np.flatnonzero(np.r_[True, ~joined][: len(some)])
-    ends = np.r_[heads[1:], len(some)][: len(heads)] - 1
-    heads, ends = some[heads], some[ends]
-    order = np.lexsort((found.start[heads], group[heads]))
-    heads, ends = heads[order], ends[order]
-    cuts = _cuts(group[heads])
-    numbers = found.words.tolist()
-    from_, to = found.start[heads].tolist(), (found.start[ends] + found.window).tolist()
-    texts = [b" ".join([words[x] for x in numbers[a:b]]) for a, b in zip(from_, to, strict=True)]
-    squeezer = zstandard.ZstdCompressor(level=1)
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        at, document = heads[a:b], found.document[heads[a:b]]
-        rows.append((int(group[heads[a]]), b - a, _squeeze(found.key[document]), _squeeze(found.tag[document]), _squeeze(own[at].astype(np.uint32)), squeezer.compress(b"\n".join(texts[a:b]))))
+    group = _route(found, hot, bits)[some]
+    # All passages that start at following words and have one anchor; without a short prefix each goes alone.
+    anchor = np.where(group >= len(PREFIXES) << bits, found.start[some], found.anchor[some])
+    heads, lengths = _runs(found.start[some], anchor)
+    order = np.argsort(group[heads], kind="stable")
+    heads, lengths = heads[order], lengths[order]
+    group, at = group[heads], some[heads]
+    sizes = lengths + found.window - 1
+    ends = np.cumsum(sizes)
+    numbers = found.words[np.arange(ends[-1] if len(ends) else 0) + np.repeat(found.start[at] - (ends - sizes), sizes)]
+    document = found.document[at]
+    key, tags, own = found.key[document], found.tag[document], (found.start[at] - found.begin[document]).astype(np.uint32)
+    words = np.empty(len(found.numbers), object)
+    for word, number in found.numbers.items():
+        words[number] = shortened(word)
+    own_number = np.zeros(len(words), np.int32)
+    cuts = _cuts(group).tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        used = numbers[ends[a] - sizes[a] : ends[b - 1]]
+        if 8 * len(used) < len(words):
+            vocabulary, renumbered = np.unique(used, return_inverse=True)
+        else:
+            own_number[used] = 1
+            vocabulary = np.flatnonzero(own_number)
+            own_number[vocabulary] = np.arange(len(vocabulary))
+            renumbered = own_number[used]
+            own_number[vocabulary] = 0
+        rows.append((int(group[a]), _squeeze(key[a:b]), _squeeze(tags[a:b]), _planes(own[a:b]), _planes(lengths[a:b]), _planes(renumbered), _squeeze(b" ".join(words[vocabulary].tolist()))))
 
     some = np.flatnonzero(later)
     if len(some):
-        joined = (found.start[some][1:] == found.start[some][:-1] + 1) & (found.document[some][1:] == found.document[some][:-1])
-        heads = np.flatnonzero(np.r_[True, ~joined][: len(some)])
-        lengths = np.diff(np.r_[heads, len(some)])
+        heads, lengths = _runs(found.start[some], found.document[some])
         document = found.document[some[heads]]
-        rows.append((direct, len(heads), _squeeze(found.key[document]), _squeeze(found.tag[document]), _squeeze(own[some[heads]].astype(np.uint32)), _squeeze(lengths.astype(np.uint32))))
-    return pa.RecordBatch.from_pylist([dict(zip(_ROW.names, r, strict=True)) for r in rows], schema=_ROW)
+        rows.append((direct, _squeeze(found.key[document]), _squeeze(found.tag[document]), _planes(found.start[some[heads]] - found.begin[document]), _planes(lengths), b"", b""))
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _ROW.types[k]) for k in range(len(_ROW))], schema=_ROW)
 
 
 def _segments(df: DataFrame, hot: list[np.ndarray], bits: int, window: int) -> DataFrame:
-    """(group, n, keys, tags, starts, text): segments by group, places by a group below 0."""
+    """Segments by group, places by a group below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, salt = Suffixes(window), 0
@@ -241,46 +289,56 @@ def _segments(df: DataFrame, hot: list[np.ndarray], bits: int, window: int) -> D
             found.close()
             yield _sent(found, hot, bits, -1 - (salt + int(found.tag.sum() % DIRECT) + 1) % DIRECT)
 
-    return df.select("doc_id", "text").mapInArrow(run, "group long, n long, keys binary, tags binary, starts binary, text binary")
+    return df.select("doc_id", "text").mapInArrow(run, "group long, " + ", ".join(f"{c} binary" for c in _COLUMNS))
 
 
 class Tree:
     """The suffix tree over the segments of a group, cut at ``window`` words: leaves in order, and how many words
-    each has in common with the one before."""
-
-    def __init__(self, segments: list[bytes], window: int):
-        numbers: dict[bytes, int] = {}
-        split = [x.split() for x in segments]
-        words = np.array([numbers.setdefault(w, len(numbers)) for x in split for w in x], np.uint64)
-        counts = np.array([len(x) for x in split], np.int64)
-        begin = np.cumsum(counts) - counts
-        leaves = counts - window + 1
-        self.segment = np.repeat(np.arange(len(split)), leaves)
-        self.offset = np.arange(len(self.segment)) - np.repeat(np.cumsum(leaves) - leaves, leaves)
-        start = begin[self.segment] + self.offset
-        bits = max(1, int(len(numbers)).bit_length())
+    each has in common with the one before. Segments are runs of numbered words, ``sizes`` long."""
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, window: int):
+        leaves = sizes - window + 1
+        self.segment = np.repeat(np.arange(len(sizes), dtype=np.int32), leaves)
+        self.offset = (np.arange(len(self.segment)) - np.repeat(np.cumsum(leaves) - leaves, leaves)).astype(np.int32)
+        start = (np.cumsum(sizes) - sizes)[self.segment] + self.offset
+        bits = max(1, int(words.max(initial=0)).bit_length())
         each = 64 // bits
+        words = words.astype(np.uint64)
         columns = []
         for a in range(0, window, each):
-            packed_words = np.zeros(len(start), np.uint64)
-            for k in range(a, min(a + each, window)):
-                packed_words = (packed_words << np.uint64(bits)) | words[start + k]
-            columns.append(packed_words)
-        self.order = np.lexsort(columns[::-1])
+            column_ = words[start + a]
+            for k in range(a + 1, min(a + each, window)):
+                column_ = (column_ << np.uint64(bits)) | words[start + k]
+            columns.append(column_)
+        self.order = _sorted(columns)
         self.common = np.zeros(len(start), np.int8)
         alike = np.ones(max(0, len(start) - 1), bool)
-        at = start[self.order]
-        for k in range(window):
-            if not alike.any():
-                break
-            alike &= words[at[1:] + k] == words[at[:-1] + k]
-            self.common[1:] += alike
+        for j, column_ in enumerate(columns):
+            ordered = column_[self.order]
+            differ = ordered[1:] ^ ordered[:-1]
+            in_column = min(each, window - j * each)
+            for k in range(in_column):
+                self.common[1:] += alike & (differ >> np.uint64(bits * (in_column - 1 - k)) == 0)
+            alike &= differ == 0
 
     def deep(self, depth: int) -> np.ndarray:
         """The number, in order, of each leaf's highest node that is ``depth`` words deep (a leaf alone is its own)."""
         return np.cumsum(self.common < depth) - 1
 
 
+def _sorted(columns: list[np.ndarray]) -> np.ndarray:
+    """The order by all columns; most rows are told apart by the first two."""
+    order = np.lexsort(columns[1::-1])
+    if len(columns) < 3 or not len(order):
+        return order
+    same = (columns[0][order][1:] == columns[0][order][:-1]) & (columns[1][order][1:] == columns[1][order][:-1])
+    tied = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
+    run = np.cumsum(np.r_[True, ~same])[tied]
+    rows = order[tied]
+    order[tied] = rows[np.lexsort((*[c[rows] for c in columns[:1:-1]], run))]
+    return order
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     folded = keys.astype(np.uint64)
     folded = (folded ^ (folded >> np.uint64(17))) & np.uint64(2**63 - 1)
@@ -300,24 +358,29 @@ def _places(segments: DataFrame, buckets: int, window: int) -> DataFrame:
     """(bucket, keys, tags, starts, lengths): the maximal repeats, in passages, by a hash of the key."""
 
     def run(t: pa.Table) -> pa.Table:
-        sent = {c: t.column(c).to_pylist() for c in ("keys", "tags", "starts", "text")}
-        key, tags, start = (np.concatenate([_numbers(x, kind) for x in sent[c]]) for c, kind in (("keys", "<i8"), ("tags", "<u8"), ("starts", "<u4")))
-        if t.column("group")[0].as_py() < 0:
-            length = np.concatenate([_numbers(x, "<u4") for x in sent["text"]])
-        else:
-            unpacker = zstandard.ZstdDecompressor()
-            tree = Tree([s for x in sent.pop("text") for s in unpacker.decompress(x).split(b"\n")], window)
+        sent = {c: t.column(c).to_pylist() for c in _COLUMNS}
+        keys, tags = ([_numbers(x, kind) for x in sent[c]] for c, kind in (("keys", "<i8"), ("tags", "<u8")))
+        start, length = (np.concatenate([_unplaned(x, len(k)) for x, k in zip(sent[c], keys, strict=True)]) for c in ("starts", "lengths"))
+        if t.column("group")[0].as_py() >= 0:
+            known, words, at = Numbers(), [], 0
+            for k, x, vocabulary in zip(keys, sent["words"], sent["vocabulary"], strict=True):
+                n = int(length[at : at + len(k)].sum()) + len(k) * (window - 1)
+                own = zstandard.ZstdDecompressor().decompress(vocabulary).split(b" ")
+                words.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own))[_unplaned(x, n)])
+                at += len(k)
+            del sent
+            tree = Tree(np.concatenate(words), length.astype(np.int64) + window - 1, window)
+        key, tags = np.concatenate(keys), np.concatenate(tags)
+        if t.column("group")[0].as_py() >= 0:
             node = tree.deep(window)
             leaf_key = key[tree.segment[tree.order]]
-            least = np.minimum.reduceat(leaf_key, _cuts(node)[:-1])
             repeated = np.zeros(len(node), bool)
-            repeated[tree.order] = leaf_key > least[node]
+            repeated[tree.order] = leaf_key > np.minimum.reduceat(leaf_key, _cuts(node)[:-1])[node]
             some = np.flatnonzero(repeated)
-            joined = (tree.segment[some][1:] == tree.segment[some][:-1]) & (tree.offset[some][1:] == tree.offset[some][:-1] + 1)
-            heads = np.flatnonzero(np.r_[True, ~joined][: len(some)])
-            length = np.diff(np.r_[heads, len(some)]).astype(np.uint32) if len(some) else np.empty(0, np.uint32)
+            heads, length = _runs(some, tree.segment[some])
             heads = some[heads]
             key, tags, start = key[tree.segment[heads]], tags[tree.segment[heads]], start[tree.segment[heads]] + tree.offset[heads].astype(np.uint32)
+        start, length = start.astype(np.uint32), length.astype(np.uint32)
         bucket = _bucket(key, buckets)
         order = np.lexsort((start, tags, key, bucket))
         cuts = _cuts(bucket[order])
@@ -339,17 +402,19 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     """Add n_words, n_removed and kept (the words that stay, joined by one space) to every row."""
     slim = df.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     rows, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    bits = max(4, math.ceil(math.log2(1 + size / 4 / group)))
+    bits = max(4, math.ceil(math.log2(1 + size / 6 / group)))
     hot: list[list[int]] = [[] for _ in PREFIXES]
     for level, at, _ in prefix_counts(slim, bits, window).filter(F.col("n") > group).collect():  # size / group at most of each length
         hot[level].append(at)
     buckets = max(1, rows // BUCKET) | 1
     places = _places(_segments(slim, [np.array(sorted(x), np.int64) for x in hot], bits, window), buckets, window)
 
-    dealt = df.select(packed(df.columns).alias("row"), column(key).cast("long").alias("key"), column(text).cast("string").alias("words"))
+    # The text goes along once.
+    texts_type = dict(df.dtypes)[text] == "string"
+    dealt = df.select(packed([c for c in df.columns if c != text or not texts_type]).alias("row"), column(key).cast("long").alias("key"), column(text).cast("string").alias("words"))
     dealt = dealt.withColumn("bucket", _bucket_column(F.col("key"), F.col("words"), buckets))
     row = next(f for f in dealt.schema.fields if f.name == "row")
-    schema = T.StructType([row, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    schema = T.StructType([row, T.StructField("words", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
@@ -372,8 +437,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
             n_words.append(len(words))
             n_removed.append(removed)
             texts.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if removed else words).decode())
-        return pa.table({"row": docs.column("row"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(texts, pa.string())})
+        return pa.table({"row": docs.column("row"), "words": docs.column("words"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(texts, pa.string())})
 
     made = dealt.groupBy("bucket").cogroup(places.groupBy("bucket")).applyInArrow(run, schema)
     own = {f"{prefix}{c}": F.col(c) for c in ("n_words", "n_removed", "kept")}
-    return made.select(*unpacked("row", [c for c in df.columns if c not in own]), *[c.alias(n) for n, c in own.items()])
+    rest = [F.col("words").alias(c) if c == text and texts_type else unpacked("row", [c])[0] for c in df.columns if c not in own]
+    return made.select(*rest, *[c.alias(n) for n, c in own.items()])
