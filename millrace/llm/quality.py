@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from millrace.llm.names import column, packed, unpacked
 from millrace.llm.words import words_column
 
-BITS = 17
+BITS = 16
 BUCKETS = 1 << BITS
 SIGMAS = 2.0
 MIN_WORDS, MOST_REPEATED = 50, 50
@@ -64,7 +64,7 @@ def _chained(left: Column, right: Column, skip: int) -> Column:
 
 
 def _bucket(gram: Column) -> Column:
-    return gram.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+    return gram.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
 
 
 def fitted(raw: list[int], halves: tuple[list[int], list[int]]) -> Ratios | None:
@@ -135,7 +135,7 @@ def judge(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
         score = F.lit(None).cast("double")
     else:
         table = F.split(F.lit(",".join(map(repr, ratios.table))), ",").cast("array<double>")  # one literal
-        total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda a, g: a + F.get(table, _bucket(g)))
+        total = lambda grams: F.aggregate(grams, F.lit(0.0), lambda a, g: a + table[_bucket(g)])
         score = F.when(n > 0, (total("_h") + total("_p")) / (n + F.size("_p")))
     columns = {
         "n_words": n.cast("long"),

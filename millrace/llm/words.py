@@ -22,7 +22,7 @@ _DIGEST = xxhash.xxh3_64_digest
 
 def words_column(text: Column) -> Column:
     """The words of a text as an array; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), "")
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
