@@ -14,7 +14,8 @@ u64, so a reader can fetch records in any order. Files are named by range of the
 Writing: rows are range-partitioned by key and sorted by (key, text), nulls first, so repeated keys
 keep a defined order. Each task writes under a name of its own attempt and renames when whole; a task
 that is run again writes the same bytes. Null texts are empty texts, whose record holds the end id
-alone. An empty table gives no files. Other columns are not read.
+alone; texts of any length are encoded whole. An empty table gives no files. Other columns are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import scratch
 from millrace.llm.arrow import slices
+from millrace.llm.names import column
 from millrace.llm.words import chunks
 
 CACHE_CHUNKS = 1_000_000
@@ -65,18 +67,25 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``width`` bytes."""
-        split = [chunks(x) for x in texts]
         if len(self.seen) > CACHE_CHUNKS:
             self.seen.clear()
-        seen = self.seen
-        new = list(dict.fromkeys(x for parts in split for x in parts if x not in seen))
+        seen, out, late = self.seen, [], {}
+        for k, text in enumerate(texts):
+            parts = chunks(text)
+            try:
+                out.append(b"".join([seen[x] for x in parts]))
+            except KeyError:
+                out.append(b"")
+                late[k] = parts
+        new = list(dict.fromkeys(x for parts in late.values() for x in parts if x not in seen))
         long: dict[str, bytes] = {}
         for start in range(0, len(new), 20_000):
             some = new[start : start + 20_000]
             for chunk, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 (seen if len(chunk) <= 64 else long)[chunk] = np.array(encoded.ids, f"<u{self.width}").tobytes()
-        both = seen | long if long else seen
-        return [b"".join([both[x] for x in parts]) for parts in split]
+        for k, parts in late.items():
+            out[k] = b"".join([seen[x] if x in seen else long[x] for x in parts])
+        return out
 
 
 def _one_thread() -> None:
@@ -89,7 +98,7 @@ def write(df: DataFrame, tokenizer_file: str, end_id: int, to: str, key: str = "
     """Encode every text, append ``end_id`` and write the files below ``to``. Returns the manifest, one row
     for each file: part, file, width, rows, ids, and start (ids in all files before it)."""
     spark = df.sparkSession
-    slim = df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    slim = df.select(column(key).cast("long").alias("key"), column(text).cast("string").alias("text"))
     dealt = slim.repartitionByRange("key").sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,18 +131,27 @@ def write(df: DataFrame, tokenizer_file: str, end_id: int, to: str, key: str = "
         out.close()
         with store.open_output_stream(own + ".idx") as f:
             f.write(struct.pack(_INDEX, b"RIDX", encoder.width, rows) + np.array(offsets, "<u8").tobytes())
-        for end_of_name in (".idx", ".rec"):
+        for end_of_name in (".rec", ".idx"):  # with its index a file is whole
             store.move(own + end_of_name, name + end_of_name)
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{to}/part-{part:06d}"], "width": [encoder.width], "rows": [rows], "ids": [total]}, schema=pa.schema([("part", pa.int64()), ("file", pa.string()), ("width", pa.int32()), ("rows", pa.int64()), ("ids", pa.int64())]))
 
     files = scratch.table(dealt.mapInArrow(run, "part long, file string, width int, rows long, ids long"), "manifest")
+    sweep(to)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return scratch.table(files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))), "manifest")
 
 
+def sweep(to: str) -> None:
+    """Remove what attempts that did not end have left below ``to``."""
+    store, base = fs.FileSystem.from_uri(to)
+    for found in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if found.base_name.startswith(".") and found.base_name.endswith((".rec", ".idx")):
+            store.delete_file(found.path)
+
+
 def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Read the files of a manifest: key, start (ids of all records before it), n_tokens, ids (binary,
-    little-endian 32-bit). A wrong checksum or length fails the task."""
+    little-endian 32-bit). A wrong checksum or length fails the task. Files are read by as many tasks as there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +181,8 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                             start += n
                         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], ["key", "start", "n_tokens", "ids"])
 
-    return manifest.select("part", "file", "start").repartition("part").mapInArrow(run, "key long, start long, n_tokens long, ids binary")
+    files = max(1, manifest.count())
+    return manifest.select("part", "file", "start").repartitionByRange(files, "part").mapInArrow(run, "key long, start long, n_tokens long, ids binary")
 
 
 def parse(record: bytes, width: int) -> tuple[int, int, int, bytes]:
