@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Where the tables of table() lie, by their frames.
+_AT: dict[int, tuple[str, DataFrame]] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -35,7 +37,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
     the files, so a lost executor costs nothing that came before."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    _AT[id(made)] = path, made
+    return made
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -46,12 +50,12 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def drop(df: DataFrame) -> None:
     """Remove the files of a table() that no plan reads any more."""
-    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for path in paths:
-        if "/millrace/" in path:
-            delete(df.sparkSession, path)
+    path, _ = _AT.pop(id(df), (None, None))
+    if path:
+        delete(df.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Remove all that this application has written here, once its results are stored elsewhere."""
+    _AT.clear()
     delete(spark, f"{root(spark)}/millrace/{spark.sparkContext.applicationId}")

@@ -6,7 +6,10 @@ row's key and the child's name, and the least draw wins. A node's draw depends o
 alone, so where a weight changes, rows move only into or out of that node's subtree; all others stay.
 :func:`grow` puts a further shard into a region of its own, so rows move into that shard and nowhere else.
 
-Equal keys go together, a null key is a key of its own, and weights of 0 get no rows.
+Equal keys go together, a null key is a key of its own, and weights of 0 get no rows. A null text has no bytes, a long one is
+measured whole. Slots are in the order of blocks, then key (null first), checksum, size and a hash of the text, so the same rows
+get the same slots in any order of theirs; rows that agree in key and text are the same, and each gets one of the slots.
+An empty table gives an empty one. Only key and text are read, so other columns' names do not matter.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import scratch
+from millrace.llm.names import column
 
 #: Regions of racks of (shard, weight).
 Tree = list[list[list[tuple[int, float]]]]
-#: Rows of one shard that are numbered together.
+#: Rows that are numbered together, about.
 SLOT_ROWS = 20_000
 
 
@@ -75,34 +79,40 @@ def _branch(on: Column, cases: list[tuple[int, Column]]) -> Column:
     return out
 
 
-def slots(df: DataFrame, shard_column: str, key: Column, out: str = "slot") -> DataFrame:
-    """Number each shard's rows from 0 without gaps. Rows are dealt by a hash of the key into blocks of about
-    SLOT_ROWS; blocks are counted, and a row's slot is its rank in its block after the blocks before. The
-    plan reads ``df`` twice, so it should be a stored table."""
-    total = df.count()
-    blocks = max(1, -(-total // SLOT_ROWS))
-    block = F.pmod(F.xxhash64(F.lit("block"), key), F.lit(blocks))
-    with_block = df.withColumn("_block", block)
-    counts = with_block.groupBy(shard_column, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(shard_column).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    own = Window.partitionBy(shard_column, "_block").orderBy(key)
-    ranked = with_block.withColumn("_rank", F.row_number().over(own).cast("long") - 1)
-    joined = ranked.join(starts, [shard_column, "_block"])
-    return joined.withColumn(out, F.col("_start") + F.col("_rank")).drop("_block", "_start", "_rank")
+def slots(df: DataFrame, shard_column: str, order: list[str], out: str = "slot") -> DataFrame:
+    """Number each shard's rows from 0 without gaps, in an order that the rows alone decide. Rows are dealt by a hash of the
+    columns ``order`` into blocks of about SLOT_ROWS and ordered there by these columns; rows that agree in all columns are
+    counted before and dealt out after, so no block has many of them. Blocks are counted, and a row's slot is its
+    rank in its block after the blocks before. The plan reads ``df`` twice, so it should be a stored table."""
+    blocks = max(1, -(-df.count() // SLOT_ROWS))
+    names = df.columns
+    # Blocks of a shard lie in one hash range each, and hold what has equal values in ``order``.
+    distinct = df.groupBy(*names).agg(F.count("*").alias("_n")).withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), *order), F.lit(blocks)))
+    counts = distinct.groupBy(shard_column, "_block").agg(F.sum("_n").alias("_rows"))
+    before = Window.partitionBy(shard_column).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
+    own = Window.partitionBy(shard_column, "_block").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = distinct.withColumn("_rank", F.coalesce(F.sum("_n").over(own), F.lit(0))).join(starts, [shard_column, "_block"])
+    base = (F.col("_start") + F.col("_rank")).alias("_base")
+    # Equal rows get the next slots, in steps, so that very many of them are dealt to many tasks.
+    steps = ranked.select(*names, base, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(SLOT_ROWS).cast("long"))).alias("_step"))
+    steps = steps.repartition(shard_column, F.shiftright(F.col("_base") + F.col("_step"), 14))
+    last = F.least(F.col("_n"), F.col("_step") + SLOT_ROWS) - 1
+    return steps.select(*names, F.explode(F.sequence(F.col("_base") + F.col("_step"), F.col("_base") + last)).alias(out))
 
 
 def assign(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, size, text_crc32, law, shard, slot and grown_shard of every row. A null text has no bytes."""
+    """Key, size, text_crc32, law, shard, slot and grown_shard of every row."""
     base = tree(shards)
-    data = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    data = F.coalesce(column(text).cast("string"), F.lit("")).cast("binary")
     placed = df.select(
-        F.col(key),
+        column(key).alias("key"),
         (F.length(data).cast("long") + 8).alias("size"),
         F.crc32(data).alias("text_crc32"),
-        F.lit("key").alias("law"),
-        shard(F.col(key), base).alias("shard"),
-        shard(F.col(key), grow(base)).alias("grown_shard"),
+        F.xxhash64(data).alias("digest"),
+        shard(column(key), base).alias("shard"),
+        shard(column(key), grow(base)).alias("grown_shard"),
     )
     stored = scratch.table(placed, "shards")
-    return slots(stored, "shard", F.col(key)).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    found = slots(stored, "shard", ["key", "text_crc32", "size", "digest"])
+    return found.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

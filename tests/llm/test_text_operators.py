@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -10,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from pyarrow import fs
 from tokenizers import Tokenizer
 
@@ -97,9 +100,36 @@ def test_url_rules(spark):
     assert got[13][:2] == ("y:", "//com/en/")
 
 
+def plain_url_rule(url, rules):
+    """host, path, rule and verdict of one URL, rule by rule."""
+    at = (url or "").find("://")
+    rest = "" if at < 0 else url[at + 3 :]
+    end = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
+    host, path = "".join(c.lower() if c.isascii() else c for c in rest[:end]), re.split("[?#]", rest[end:])[0]
+    fits = [(len(h) + len(p), len(h), h + p, v) for h, p, v in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *(max(fits)[2:] if fits else (None, "allow")))
+
+
+def test_url_rules_by_brute_force(spark):
+    rng = random.Random(8)
+    part = lambda: rng.choice(["a", "b", "ab", "é", ""])
+    rules = [(".".join(rng.choice(["a", "b", "ab", "é"]) for _ in range(rng.randint(1, 3))), "/" + part() + rng.choice(["", "/", "b"]), rng.choice(["block", "allow"])) for _ in range(60)]
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    urls_ = [rng.choice(["http://", "x:", "", "s://"]) + ".".join(part().upper() for _ in range(rng.randint(1, 4))) + rng.choice(["", "/", "/a/b", "/ab", "/b?q", "#f", "/é/é"]) for _ in range(600)] + [None, "", "http://" + "a." * 3000 + "b/" + "a" * 50_000]
+    got = urls.judge(spark.createDataFrame([(i, u) for i, u in enumerate(urls_)], "page_id long, url string").repartition(3), rules).collect()
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: plain_url_rule(u, rules) for i, u in enumerate(urls_)}
+    # Equal length: the longer host wins. The same key twice: the last one counts. No rules: the default.
+    tie = [("a.b", "/", "block"), ("b", "/xy", "allow"), ("b", "/xy", "block"), ("a.b", "/x", "allow"), ("b", "/xyz", "block")]
+    one = spark.createDataFrame([("h://a.b/xyz", "mine", "dot")], "url string, _found string, `a.b` string")
+    assert [(r.rule, r.verdict, r._found, r["a.b"]) for r in urls.judge(one, tie).collect()] == [("a.b/x", "allow", "mine", "dot")]
+    assert [r.rule for r in urls.judge(one, tie[:3]).collect()] == ["a.b/"]
+    assert [r.verdict for r in urls.judge(one, tie[1:3]).collect()] == ["block"]
+    assert [(r.rule, r.verdict) for r in urls.judge(one, []).collect()] == [(None, "allow")]
+
+
 def test_url_index_collisions(tmp_path, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda s: 5)
-    urls.write_index([("a.com", "/x", "block"), ("b.com", "/x", "allow"), ("c.com", "/", "block")], str(tmp_path / "i"))
+    (tmp_path / "i").write_bytes(urls.index_bytes([("a.com", "/x", "block"), ("b.com", "/x", "allow"), ("c.com", "/", "block")]))
     index = urls.Index(str(tmp_path / "i"))
     assert index.probe(["b.com", "q.a.com", "d.com"], ["/xy", "/x", "/x"]) == (["b.com/x", "a.com/x", None], ["allow", "block", None])
 
@@ -147,6 +177,48 @@ def test_shards(spark):
     assert len({r.shard for r in rows if r.doc_id == 4}) == 1
 
 
+def spark_hash(data, seed):
+    found = xxhash.xxh64_intdigest(data, seed % (1 << 64))
+    return found - (1 << 64) * (found >> 63)
+
+
+def descended(key, tree):
+    """The shard of a key by the plain law: at every level the least draw wins."""
+
+    def best(children):
+        draws = []
+        for number, name, weight in children:
+            h = spark_hash(name.encode(), 42)
+            h = spark_hash((key % (1 << 64)).to_bytes(8, "little"), h) if key is not None else h
+            u = (((h % (1 << 64)) >> 12) + 0.5) / 2**52
+            draws.append((-math.log(u) / weight, number))
+        return min(draws)[1]
+
+    weight = lambda rack: sum(w for _, w in rack)
+    r = best([(r, f"region {r}", sum(map(weight, racks))) for r, racks in enumerate(tree)])
+    k = best([(k, f"rack {r}.{k}", weight(rack)) for k, rack in enumerate(tree[r])])
+    return best([(s, f"shard {s}", w) for s, w in tree[r][k]])
+
+
+def test_shards_by_brute_force(spark):
+    rows = [(i, t) for i in [None, -5, *range(400)] for t in ([None, "a", "a"] if i in (None, 7) else [f"t{i}"])]
+    got = sharding.assign(documents(spark, []).union(spark.createDataFrame([(i, t, None, "", 0) for i, t in rows], SCHEMA)), 24).collect()
+    base = sharding.tree(24)
+    assert len(got) == len(rows)
+    assert all(r.shard == descended(r.doc_id, base) and r.grown_shard == descended(r.doc_id, sharding.grow(base)) for r in got)
+
+
+def test_slots_do_not_depend_on_the_order(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 50)
+    rows = [(1 if i % 3 else None, f"t{i % 40}" if i % 5 else None, None, "", 0) for i in range(600)]
+    random.Random(5).shuffle(rows)
+    runs = [sorted(map(str, sharding.assign(spark.createDataFrame(rows[::step], SCHEMA).repartition(parts), 24).collect())) for step, parts in ((1, 1), (-1, 5))]
+    assert runs[0] == runs[1] and len(runs[0]) == 600
+    for s in {r.split("shard=")[1].split(",")[0] for r in runs[0]}:
+        own = sorted(int(r.split("slot=")[1].split(",")[0]) for r in runs[0] if f" shard={s}," in r)
+        assert own == list(range(len(own)))
+
+
 def test_weights_move_only_into_their_subtree(spark):
     base = sharding.tree(24)
     heavier = [[list(rack) for rack in region] for region in base]
@@ -206,3 +278,44 @@ def test_files_have_no_temporary_names(spark):
     records.write(documents(spark, ["a", "b"]), queries.ENGLISH, 2, to).collect()
     store, base = fs.FileSystem.from_uri(to)
     assert all(not x.base_name.startswith(".") for x in store.get_file_info(fs.FileSelector(base)))
+
+
+def test_records_are_read_by_one_task_a_file(spark):
+    df = documents(spark, [f"text {i}" for i in range(400)]).repartition(7)
+    to = scratch.folder(spark, "records")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = records.write(df, queries.ENGLISH, 2, to)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.count() > 1
+    assert records.read(spark, manifest).rdd.getNumPartitions() == manifest.count()
+
+
+def test_a_second_attempt_leaves_the_same_files(spark):
+    df = documents(spark, [f"text {i}" for i in range(50)])
+    to = scratch.folder(spark, "records")
+    store, base = fs.FileSystem.from_uri(to)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/.000000-dead.rec") as f:  # what a lost attempt has left
+        f.write(b"half a record")
+    first = [tuple(r) for r in records.read(spark, records.write(df, queries.ENGLISH, 2, to)).collect()]
+    assert first == [tuple(r) for r in records.read(spark, records.write(df, queries.ENGLISH, 2, to)).collect()]
+    assert all(not x.base_name.startswith(".") for x in store.get_file_info(fs.FileSelector(base)))
+
+
+@pytest.mark.parametrize("name", ["op1_bpe", "op6_records"])
+def test_queries_against_the_libraries(spark, library, name):
+    folder = "/root/testdata/sf0.001"
+    texts = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    got = sorted(queries.QUERIES[name](spark, folder).collect())
+    if name == "op1_bpe":
+        ids = {i: library.encode_ordinary(t) for i, t in texts}
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        assert [tuple(r) for r in got] == [(i, len(ids[i]), sha(",".join(map(str, ids[i])).encode()), sha(t.encode())) for i, t in texts]
+    else:
+        tokenizer, at = Tokenizer.from_file(queries.ENGLISH), 0
+        for r, (i, t) in zip(got, texts, strict=True):
+            ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+            assert tuple(r) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += len(ids)
