@@ -6,7 +6,7 @@ starts in a document with a smaller doc_id.
 1. A passage is filed under one suffix that starts in it, its anchor: of the places at which a prefix of the greatest
    length still fits into the passage, the one whose prefix has the least hash. Equal passages have equal anchors, and
    some five passages in a row share one, so they travel as one segment of text and not as one window each.
-2. Anchors are counted by the hash of their first 1, 2 and 4 words. A segment belongs to its anchor's shortest prefix
+2. Anchors are counted by the hash of their first 1, 2 and 3 words. A segment belongs to its anchor's shortest prefix
    that has GROUP passages at most; passages without such a prefix are filed one by one by all their words. The driver
    gets the prefixes that have more.
 3. Every FLUSH passages, a task keeps those with the least doc_id of equal ones (equal hashes are compared word by
@@ -27,6 +27,7 @@ n_removed and kept, with ``prefix`` before them.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -38,20 +39,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm import scratch
 from millrace.llm.arrow import slices
 from millrace.llm.names import column, packed, unpacked
 from millrace.llm.words import mix, window_hashes
 
 WINDOW = 13
-PREFIXES = (1, 2, 4)
+PREFIXES = (1, 2, 3)
 #: Passages that a group of short prefixes may have (about 100 bytes each while they are sorted).
-GROUP = 2_000_000
+GROUP = 1_500_000
 BUCKET = 400
 CHUNK_BYTES = 4 << 20
 #: Passages that a task gathers before it sends them on (about 80 bytes each while they are sorted).
 FLUSH = 1_000_000
 #: Bytes of a word that are kept as they are.
 LONG = 64
+#: Words that have the same number everywhere: the most frequent ones, and how often a word must be in one batch to be counted.
+#: All others travel as they are, so this is only for size.
+COMMON, OFTEN = 1 << 16, 4
 #: Groups that take the places that need no tree.
 DIRECT = 4096
 
@@ -59,18 +64,27 @@ DIRECT = 4096
 class Numbers(dict):
     """Words by number, in the order in which they come; a long one counts as its digest."""
 
+    def __init__(self, common: list[bytes]):
+        super().__init__(zip(common, range(len(common)), strict=True))
+        self.names = list(common)
+
     def __missing__(self, word: bytes) -> int:
-        own = shortened(word)
-        number = self[word] = len(self) if own is word else self[own]
+        own = word if len(word) <= LONG else shortened(word)
+        if own is not word and own in self:
+            number = self[own]
+        else:
+            number = self[own] = len(self.names)
+            self.names.append(own)
+        self[word] = number
         return number
 
 
 class Suffixes:
     """Documents of some batches: words by number, and the places at which a passage starts."""
 
-    def __init__(self, window: int):
+    def __init__(self, window: int, common: list[bytes]):
         self.window, self.reach = window, max(1, window - max(PREFIXES) + 1)
-        self.numbers = Numbers()
+        self.numbers = Numbers(common)
         self.parts: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
@@ -109,7 +123,7 @@ class Suffixes:
         n = max(0, len(self.words) - w + 1)
         self.start = np.flatnonzero(owner[:n] == owner[len(owner) - n :]) if n else np.empty(0, np.int64)
         self.document = owner[self.start]
-        own = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, self.numbers)), ">u8").astype(np.uint64)
+        own = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, self.numbers.names)), ">u8").astype(np.uint64)
         self.hashes = own[self.words] if len(self.words) else np.empty(0, np.uint64)
         self.path = window_hashes(self.hashes, w)[self.start] if n else np.empty(0, np.uint64)
         best = window_hashes(self.hashes, min(w, max(PREFIXES)))
@@ -158,18 +172,29 @@ def tag(text: str) -> int:
 
 
 def prefix_counts(df: DataFrame, bits: int, window: int) -> DataFrame:
-    """(level, bin, n): the passages by hashed prefix of their anchors."""
+    """(level, bin, word, n): the passages by hashed prefix of their anchors; and, at level -1, the frequent words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", CHUNK_BYTES):
-            found = Suffixes(window)
+            found = Suffixes(window, [])
             found.add(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist())
             found.close()
             parts = [_counted(found.prefix(k, bits), bits) for k in PREFIXES]
             level = np.repeat(np.arange(len(PREFIXES), dtype=np.int32), [len(x) for x, _ in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(level), pa.array(np.concatenate([x for x, _ in parts]).astype(np.int64)), pa.array(np.concatenate([n for _, n in parts]).astype(np.int64))], ["level", "bin", "n"])
-
-    return df.select("doc_id", "text").mapInArrow(run, "level int, bin long, n long").groupBy("level", "bin").agg(F.sum("n").alias("n"))
+            often = np.bincount(found.words, minlength=1)
+            some = np.flatnonzero(often >= OFTEN)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.r_[level, np.full(len(some), -1, np.int32)]),
+                    pa.array(np.concatenate([*[x for x, _ in parts], np.zeros(len(some), np.int64)]).astype(np.int64)),
+                    pa.array([*[None] * len(level), *[found.numbers.names[x] for x in some.tolist()]], pa.binary()),
+                    pa.array(np.concatenate([*[n for _, n in parts], often[some]]).astype(np.int64)),
+                ],
+                ["level", "bin", "word", "n"],
+            )
+
+    made = df.select("doc_id", "text").mapInArrow(run, "level int, bin long, word binary, n long")
+    return made.groupBy("level", "bin", "word").agg(F.sum("n").alias("n"))
 
 
 def _counted(bins: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +255,7 @@ def _runs(some: np.ndarray, *alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return heads, np.diff(np.r_[heads, len(some)]) if len(some) else heads
 
 
-def _sent(found: Suffixes, hot: list[np.ndarray], bits: int, direct: int) -> pa.RecordBatch:
+def _sent(found: Suffixes, hot: list[np.ndarray], bits: int, direct: int, common: int) -> pa.RecordBatch:
     """For each group its segments, as numbers of words of a vocabulary; and, under ``direct``, the places that need no tree."""
     first, later = found.first_of_equal()
     rows: list[tuple] = []
@@ -248,21 +273,23 @@ def _sent(found: Suffixes, hot: list[np.ndarray], bits: int, direct: int) -> pa.
     numbers = found.words[np.arange(ends[-1] if len(ends) else 0) + np.repeat(found.start[at] - (ends - sizes), sizes)]
     document = found.document[at]
     key, tags, own = found.key[document], found.tag[document], (found.start[at] - found.begin[document]).astype(np.uint32)
-    words = np.empty(len(found.numbers), object)
-    for word, number in found.numbers.items():
-        words[number] = shortened(word)
+    words = np.array([*found.numbers.names, None], object)
     own_number = np.zeros(len(words), np.int32)
     cuts = _cuts(group).tolist()
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         used = numbers[ends[a] - sizes[a] : ends[b - 1]]
-        if 8 * len(used) < len(words):
-            vocabulary, renumbered = np.unique(used, return_inverse=True)
+        # Common words keep their number; the others are numbered after them, in the row's own vocabulary.
+        rare = np.flatnonzero(used >= common)
+        if 8 * len(rare) < len(words):
+            vocabulary, place = np.unique(used[rare], return_inverse=True)
         else:
-            own_number[used] = 1
+            own_number[used[rare]] = 1
             vocabulary = np.flatnonzero(own_number)
             own_number[vocabulary] = np.arange(len(vocabulary))
-            renumbered = own_number[used]
+            place = own_number[used[rare]]
             own_number[vocabulary] = 0
+        renumbered = used.copy()
+        renumbered[rare] = common + place
         rows.append((int(group[a]), _squeeze(key[a:b]), _squeeze(tags[a:b]), _planes(own[a:b]), _planes(lengths[a:b]), _planes(renumbered), _squeeze(b" ".join(words[vocabulary].tolist()))))
 
     some = np.flatnonzero(later)
@@ -273,21 +300,21 @@ def _sent(found: Suffixes, hot: list[np.ndarray], bits: int, direct: int) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _ROW.types[k]) for k in range(len(_ROW))], schema=_ROW)
 
 
-def _segments(df: DataFrame, hot: list[np.ndarray], bits: int, window: int) -> DataFrame:
+def _segments(df: DataFrame, hot: list[np.ndarray], bits: int, window: int, common: list[bytes]) -> DataFrame:
     """Segments by group, places by a group below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, salt = Suffixes(window), 0
+        found, salt = Suffixes(window, common), 0
         for batch in slices(batches, "text", CHUNK_BYTES):
             found.add(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist())
             if found.waiting >= FLUSH:
                 found.close()
                 salt = (salt + int(found.tag.sum() % DIRECT) + 1) % DIRECT
-                yield _sent(found, hot, bits, -1 - salt)
-                found = Suffixes(window)
+                yield _sent(found, hot, bits, -1 - salt, len(common))
+                found = Suffixes(window, common)
         if found.waiting:
             found.close()
-            yield _sent(found, hot, bits, -1 - (salt + int(found.tag.sum() % DIRECT) + 1) % DIRECT)
+            yield _sent(found, hot, bits, -1 - (salt + int(found.tag.sum() % DIRECT) + 1) % DIRECT, len(common))
 
     return df.select("doc_id", "text").mapInArrow(run, "group long, " + ", ".join(f"{c} binary" for c in _COLUMNS))
 
@@ -354,7 +381,7 @@ def _bucket_column(key: Column, text: Column, buckets: int) -> Column:
 _PLACES = "bucket long, keys binary, tags binary, starts binary, lengths binary"
 
 
-def _places(segments: DataFrame, buckets: int, window: int) -> DataFrame:
+def _places(segments: DataFrame, buckets: int, window: int, common: int) -> DataFrame:
     """(bucket, keys, tags, starts, lengths): the maximal repeats, in passages, by a hash of the key."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -362,11 +389,15 @@ def _places(segments: DataFrame, buckets: int, window: int) -> DataFrame:
         keys, tags = ([_numbers(x, kind) for x in sent[c]] for c, kind in (("keys", "<i8"), ("tags", "<u8")))
         start, length = (np.concatenate([_unplaned(x, len(k)) for x, k in zip(sent[c], keys, strict=True)]) for c in ("starts", "lengths"))
         if t.column("group")[0].as_py() >= 0:
-            known, words, at = Numbers(), [], 0
+            known: dict[bytes, int] = {}
+            words, at, free = [], 0, common
             for k, x, vocabulary in zip(keys, sent["words"], sent["vocabulary"], strict=True):
                 n = int(length[at : at + len(k)].sum()) + len(k) * (window - 1)
-                own = zstandard.ZstdDecompressor().decompress(vocabulary).split(b" ")
-                words.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own))[_unplaned(x, n)])
+                own = zstandard.ZstdDecompressor().decompress(vocabulary).split()
+                # New words get the next numbers; known ones leave theirs unused.
+                named = np.fromiter(map(known.setdefault, own, itertools.count(free)), np.uint32, len(own))
+                free += len(own)
+                words.append(np.r_[np.arange(common, dtype=np.uint32), named][_unplaned(x, n)])
                 at += len(k)
             del sent
             tree = Tree(np.concatenate(words), length.astype(np.int64) + window - 1, window)
@@ -403,11 +434,16 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     slim = df.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     rows, size = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = max(4, math.ceil(math.log2(1 + size / 6 / group)))
+    counts = scratch.table(prefix_counts(slim, bits, window), "prefixes")
     hot: list[list[int]] = [[] for _ in PREFIXES]
-    for level, at, _ in prefix_counts(slim, bits, window).filter(F.col("n") > group).collect():  # size / group at most of each length
-        hot[level].append(at)
+    for row in counts.filter((F.col("level") >= 0) & (F.col("n") > group)).collect():  # size / group at most of each length
+        hot[row.level].append(row.bin)
+    frequent = counts.filter("level < 0").orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    common = [bytes(r.word) for r in frequent]
+    scratch.drop(counts)
     buckets = max(1, rows // BUCKET) | 1
-    places = _places(_segments(slim, [np.array(sorted(x), np.int64) for x in hot], bits, window), buckets, window)
+    segments = _segments(slim, [np.array(sorted(x), np.int64) for x in hot], bits, window, common)
+    places = _places(segments, buckets, window, len(common))
 
     # The text goes along once.
     texts_type = dict(df.dtypes)[text] == "string"
