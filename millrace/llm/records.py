@@ -23,10 +23,12 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,9 +39,13 @@ from millrace.llm.arrow import slices
 from millrace.llm.names import column
 from millrace.llm.words import chunks
 
+#: Chunks a worker remembers; then it starts again.
 CACHE_CHUNKS = 1_000_000
 #: Formats of a record's head, its payload's head, and the index's head.
 _HEAD, _PAYLOAD, _INDEX = "<QI", "<BqI", "<4sIQ"
+#: A space beside white space, as Python's \\s has it (fixed values).
+_WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = f" [{_WS}]|[{_WS}] "
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -57,6 +63,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.kind = {2: "H", 4: "I"}[self.width]  # little-endian machines
         self.seen: dict[str, bytes] = {}
 
     @staticmethod
@@ -65,26 +72,48 @@ class Encoder:
             _LOADED[tokenizer_file] = Encoder(tokenizer_file)
         return _LOADED[tokenizer_file]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``width`` bytes."""
+    def _chunks(self, chunks_: list[str]) -> list[bytes]:
+        """The ids of some chunks; those met before are remembered."""
         if len(self.seen) > CACHE_CHUNKS:
             self.seen.clear()
-        seen, out, late = self.seen, [], {}
-        for k, text in enumerate(texts):
-            parts = chunks(text)
-            try:
-                out.append(b"".join([seen[x] for x in parts]))
-            except KeyError:
-                out.append(b"")
-                late[k] = parts
-        new = list(dict.fromkeys(x for parts in late.values() for x in parts if x not in seen))
-        long: dict[str, bytes] = {}
-        for start in range(0, len(new), 20_000):
-            some = new[start : start + 20_000]
-            for chunk, encoded in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (seen if len(chunk) <= 64 else long)[chunk] = np.array(encoded.ids, f"<u{self.width}").tobytes()
-        for k, parts in late.items():
-            out[k] = b"".join([seen[x] if x in seen else long[x] for x in parts])
+        found = list(map(self.seen.get, chunks_))
+        late = [k for k, ids in enumerate(found) if ids is None]
+        for start in range(0, len(late), 20_000):
+            some = late[start : start + 20_000]
+            for k, encoded in zip(some, self.tokenizer.encode_batch_fast([chunks_[k] for k in some], add_special_tokens=False), strict=True):
+                found[k] = array(self.kind, encoded.ids).tobytes()
+        self.seen.update((chunks_[k], found[k]) for k in late if len(chunks_[k]) <= 64)
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian integers of ``width`` bytes. Each word of a batch is looked up once."""
+        given = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(given, _ODD).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = b"".join(self._chunks(chunks(texts[k])))
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        # Without odd spaces a text is cut at every space, as chunks() does; all parts but the first keep theirs.
+        parts = pc.split_pattern(given.take(pa.array(plain)), " ")
+        ends = parts.offsets.to_numpy()
+        coded = parts.values.dictionary_encode()
+        of = coded.indices.to_numpy().astype(np.int64)
+        names = coded.dictionary.to_pylist()
+        of_first = of[ends[:-1]]
+        of[ends[:-1]] = len(names) + np.arange(len(plain))
+        ids = self._chunks([" " + x for x in names]) + self._chunks([names[x] for x in of_first.tolist()])
+        flat = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        starts = np.cumsum(sizes) - sizes
+        counts = sizes[of]
+        upto = np.cumsum(counts)
+        made = flat[np.arange(upto[-1]) + np.repeat(starts[of] - (upto - counts), counts)].tobytes()
+        last = 0
+        for k, end in zip(plain.tolist(), (upto[ends[1:] - 1] * self.width).tolist(), strict=True):
+            out[k] = made[last:end]
+            last = end
         return out
 
 
@@ -112,7 +141,7 @@ def write(df: DataFrame, tokenizer_file: str, end_id: int, to: str, key: str = "
         own = f"{base}/.{part:06d}-{uuid.uuid4().hex}"
         offsets, at, rows, total = [], 0, 0, 0
         out = None
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             out = out or store.open_output_stream(own + ".rec")
             encoded = encoder.encode([x or "" for x in batch.column("text").to_pylist()])
             blobs = []
