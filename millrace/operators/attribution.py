@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.expr import or_default, registrable_domain, subdomain, url_host, url_path
+from millrace.functions.folds import apart
 from millrace.schemas import ACTION_WINDOW_MINUTES
 
 
@@ -53,10 +54,9 @@ def actions_in_window(opens: DataFrame, actions: DataFrame, minutes: int = ACTIO
 
 
 def new_actions(actions: DataFrame, minutes: int = ACTION_WINDOW_MINUTES) -> DataFrame:
-    """Actions without another of the same device and link in the window before."""
-    order = Window.partitionBy("device_id", "link_id").orderBy("at", "action_id")
-    gap = _micros("at") - F.lag(_micros("at")).over(order)
-    return actions.withColumn("_gap", gap).filter(F.col("_gap").isNull() | (F.col("_gap") > minutes * 60_000_000)).drop("_gap")
+    """Attempts that make an action: those without an action of the same device and link in the window before. Attempts
+    that made none do not count."""
+    return apart(actions, ["device_id", "link_id"], ["at", "action_id"], minutes * 60_000_000)
 
 
 def handled(actions: DataFrame, matched: DataFrame) -> DataFrame:
@@ -85,7 +85,12 @@ def fingerprint_matches(requests: DataFrame, seen: DataFrame, minutes: int = 5)
     every further mark, none of them null."""
     keys = ["project_id", "remote_ip", "ua_platform", "ua_version"]
     theirs = seen.select(*keys, F.col("device_id"), F.col("at").alias("_seen"), *[F.col(c).alias(f"_{c}") for c in TIE_BREAK])
-    near = requests.join(theirs, keys).filter((F.col("_seen") <= F.col("at")) & (_micros("_seen") >= _micros("at") - minutes * 60_000_000))
+    # Dealt into windows of time as well: many devices may be behind one address.
+    width = minutes * 60_000_000
+    slot = F.floor(_micros("at") / width)
+    theirs = theirs.withColumn("_slot", F.floor(_micros("_seen") / width))
+    slotted = requests.withColumn("_slot", F.explode(F.array(slot, slot - 1)))
+    near = slotted.join(theirs, [*keys, "_slot"]).filter((F.col("_seen") <= F.col("at")) & (_micros("_seen") >= _micros("at") - width))
     same = F.lit(True)
     for c in TIE_BREAK:
         same = same & F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False))
@@ -127,17 +132,76 @@ def import_links(rows: DataFrame, existing: DataFrame, prefixes: list[str]) -> t
     return good, blank.union(again)
 
 
+#: Severity numbers, and what levels of JSON lines mean; other levels are INFO (fixed values).
+SEVERITIES = {"TRACE": 1, "DEBUG": 5, "INFO": 9, "WARN": 13, "ERROR": 17, "FATAL": 21}
+LEVELS = {
+    "FATAL": "FATAL",
+    "CRITICAL": "FATAL",
+    "ERROR": "ERROR",
+    "ERR": "ERROR",
+    "WARN": "WARN",
+    "WARNING": "WARN",
+    "INFO": "INFO",
+    "DEBUG": "DEBUG",
+    "TRACE": "TRACE",
+}
+#: Keys of a request's JSON by the attribute that they become (fixed values).
+REQUEST_KEYS = {
+    "http_method": ("http_method", "method"),
+    "http_path": ("path",),
+    "controller": ("controller",),
+    "action": ("action",),
+    "http_status": ("status",),
+    "duration_ms": ("duration",),
+    "client_ip": ("request_ip", "ip"),
+    "error_class": ("error_class",),
+    "error_message": ("error_message",),
+}
+
+
+def _found(text, pattern: str, group: int = 1):
+    """What a pattern's group matches; null where it does not."""
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+
+
 def classify_logs(lines: DataFrame) -> DataFrame:
-    """Severity, number and error class of log lines: a JSON level, else an HTTP status, else a word in the line."""
-    level = F.upper(F.get_json_object(F.when(F.col("line").rlike(r"^\s*\{.*\}\s*$"), F.col("line")), "$.level"))
-    status = F.try_to_number(F.nullif(F.regexp_extract("line", r"status=(\d{3})", 1), F.lit("")), F.lit("999"))
-    word = F.upper(F.regexp_extract("line", r"(?i)\b(fatal|error|warn|info|debug)\b", 1))
-    from_status = F.when(status >= 500, "ERROR").when(status >= 400, "WARN").when(status.isNotNull(), "INFO")
-    severity = F.coalesce(level, from_status, F.nullif(word, F.lit("")), F.lit("INFO"))
-    severity = F.when(severity == "WARNING", "WARN").otherwise(severity)
-    number = F.when(severity == "FATAL", 21).when(severity == "ERROR", 17).when(severity == "WARN", 13).when(severity == "DEBUG", 5).otherwise(9)
-    kind = F.nullif(F.regexp_extract("line", r"\b((?:[A-Z]\w*::)*[A-Z]\w*(?:Error|Exception))\b", 1), F.lit(""))
-    return lines.withColumns({"severity": severity, "severity_number": number, "error_class": kind})
+    """Log lines to records: body, log_type, severity and its number, trace context, message and request attributes.
+    A line is JSON with a level, a framework's line (whose message may hold a request as JSON, whose status then sets the
+    severity, unless the message names an error), or plain text, which is INFO. A null line is invalid."""
+    line = F.regexp_replace("line", r"\s+$", "")
+    level = _found(line, r'"level"\s*:\s*"([^"]+)"')
+    json_severity = F.coalesce(F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])[F.upper(level)], F.lit("INFO"))
+    json_message = F.replace(_found(line, r'(?s)"message"\s*:\s*"(.*?)"[,}]'), F.lit('\\"'), F.lit('"'))
+
+    form = r"(?s)^([IWEF]), \[([^\]]+) #(\d+)\]\s+(\w+)\s+--\s+:\s+(.*)$"
+    letter, word, text = (_found(line, form, k) for k in (1, 4, 5))
+    own = F.when((letter == "F") | (word == "FATAL"), "FATAL").when((letter == "E") | (word == "ERROR"), "ERROR").when((letter == "W") | (word == "WARN"), "WARN").when((letter == "I") | (word == "INFO"), "INFO").otherwise("DEBUG")
+
+    is_json, is_text = level.isNotNull(), level.isNull() & text.isNotNull()
+    inner = F.when(is_json, _found(json_message, r"(?s)^(\{.*\})$")).when(is_text, _found(text, r"(?s)(\{.+\})"))
+    inner = F.when(F.get_json_object(inner, "$").isNotNull(), inner)
+    made = lines.withColumns({"_json": is_json, "_text": is_text, "_inner": inner, "_own": F.when(is_text, own), "_message": F.when(is_json, json_message).when(is_text, text)})
+    made = made.withColumns({k: F.coalesce(*[F.get_json_object("_inner", f"$.{x}") for x in names]) for k, names in REQUEST_KEYS.items()})
+    # Only JSON lines' requests have error attributes; other lines name them in their text.
+    named = F.when(F.col("_text"), _found(F.col("_message"), r"(\w+Error)"))
+    status = F.col("http_status").cast("int")
+    by_status = F.when(status >= 500, "ERROR").when(status >= 400, "WARN").when(status.isNotNull(), "INFO")
+    error, fatal = F.col("_message").rlike("ERROR|\U0001F4A5"), F.col("_message").rlike("FATAL|\U0001F525")
+    severity = F.when(F.col("_json"), json_severity).when(F.col("_text") & error, "ERROR").when(F.col("_text") & fatal, "FATAL").when(F.col("_text"), F.coalesce(by_status, "_own")).otherwise("INFO")
+    made = made.withColumns({
+        "error_class": F.when(F.col("_json"), F.col("error_class")).otherwise(named),
+        "error_message": F.when(F.col("_json"), F.col("error_message")).when(F.col("_text"), _found(F.col("_message"), r"RuntimeError \(([^)]+)\)")),
+        "error_type": F.when(F.col("_text") & error, "application_error").when(F.col("_text") & fatal, "fatal_error"),
+        "severity": severity,
+        "log_type": F.when(F.col("line").isNull(), F.lit(None)).when(F.col("_json"), "json_structured").when(F.col("_text") & F.col("_inner").isNotNull(), "rails_structured").when(F.col("_text"), "rails").when(line.rlike(r"^[A-Za-z0-9]+$"), "test_message").otherwise("application"),
+        "trace_id": _found(line, r'"trace_id"\s*:\s*"([a-f0-9]+)"'),
+        "span_id": _found(line, r'"span_id"\s*:\s*"([a-f0-9]+)"'),
+        "trace_flags": _found(line, r'"trace_flags"\s*:\s*(\d+)').cast("int"),
+        "body": F.when(F.col("line").isNull(), "invalid log").when(F.col("_text"), F.coalesce("_inner", line)).otherwise(line),
+        "message": F.col("_message"),
+    })
+    number = F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair])[F.col("severity")]
+    return made.withColumn("severity_number", number).drop("_json", "_text", "_inner", "_own", "_message")
 
 
 def without_tenant(table: DataFrame, projects: DataFrame, key: str = "project_id") -> DataFrame:

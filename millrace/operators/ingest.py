@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.expr import metric_name, metric_platform, metric_value
+from millrace.functions.folds import apart
 from millrace.schemas import EVENTS, RAW_EVENT
 
 #: Order of arrival, wherever first or last counts.
@@ -55,20 +56,8 @@ def dedup_views_by_gap(events: DataFrame, seconds: int = 5) -> DataFrame:
 
 def dedup_views_fixed(events: DataFrame, seconds: int = 5) -> DataFrame:
     """Drop a device's views within ``seconds`` of the last kept one; dropped views do not prolong the window."""
-
-    def keep(pdf):
-        pdf = pdf.sort_values(list(ARRIVAL))
-        kept, start = [], None
-        for t in pdf["created_at"]:
-            if start is None or (t - start).total_seconds() > seconds:
-                start = t
-                kept.append(True)
-            else:
-                kept.append(False)
-        return pdf[kept]
-
-    views = events.filter("event = 'view'")
-    return views.groupBy("device_id").applyInPandas(keep, views.schema).unionByName(events.filter("event <> 'view' or event is null"))
+    kept = apart(events.filter("event = 'view'"), ["device_id"], list(ARRIVAL), seconds * 1_000_000)
+    return kept.unionByName(events.filter("event <> 'view' or event is null"))
 
 
 def view_sessions(events: DataFrame, seconds: int = 5) -> DataFrame:

@@ -39,10 +39,11 @@ def link_revenue(priced: DataFrame) -> DataFrame:
 
 
 def first_purchases(priced: DataFrame) -> DataFrame:
-    """Marks each device's first buy of a product."""
-    order = Window.partitionBy("project_id", "device_id", "product_id", "buy").orderBy(*ORDER)
+    """Marks each device's first buy of a product. Only buys of known devices are ordered."""
     known = F.col("buy") & F.col("device_id").isNotNull()
-    return priced.withColumn("first_time", known & (F.row_number().over(order) == 1))
+    order = Window.partitionBy("project_id", "device_id", "product_id").orderBy(*ORDER)
+    marked = priced.filter(known).withColumn("first_time", F.row_number().over(order) == 1)
+    return marked.unionByName(priced.filter(~F.coalesce(known, F.lit(False))).withColumn("first_time", F.lit(False)))
 
 
 def product_days(priced: DataFrame) -> DataFrame:
@@ -94,6 +95,7 @@ def revenue_metrics(days: DataFrame, all_products: DataFrame, purchases: DataFra
 def with_arpu(metrics: DataFrame, vds: DataFrame, project: int, start: str, end: str) -> DataFrame:
     """Revenue per visitor of the range and per purchaser."""
     people = vds.filter((F.col("project_id") == project) & F.col("event_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).agg(F.count_distinct("visitor_id").alias("_people"))
+    # ``people`` is one row.
     return metrics.crossJoin(people).withColumns({"arpu": ratio(F.col("revenue"), F.col("_people"), 2), "arppu": ratio(F.col("revenue"), F.col("unique_purchasers"), 2)}).drop("_people")
 
 
@@ -133,17 +135,22 @@ def attribute_from_last_visit(purchases: DataFrame, visitors: DataFrame, visits:
     return joined.withColumn("link_id", F.coalesce("link_id", "_last")).drop("_last")
 
 
-def match_webhooks(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+def match_webhooks(incoming: DataFrame, stored: DataFrame, validated_by_original: bool = True) -> DataFrame:
     """For each incoming (notice_id, project_id, event_type, transaction_id, original_transaction_id) what to do: validate
-    an unvalidated event of the transaction (or of the original one, if that is the transaction), nothing if one is
-    validated, else create."""
+    an unvalidated event (the flag is false; null is neither) of the transaction, else of the original one; do nothing if
+    there is a validated one of the transaction, else (unless ``validated_by_original`` is off) of the original one; else create.
+    The original one counts only for a first purchase, whose two ids are the same. Of several the least event_id counts."""
     keys = ["project_id", "event_type"]
-    s = stored.select(*keys, F.col("transaction_id").alias("s_txn"), "event_id", F.coalesce("webhook_validated", F.lit(False)).alias("done"))
-    hits = incoming.join(s, keys).filter((F.col("s_txn") == F.col("transaction_id")) | ((F.col("s_txn") == F.col("original_transaction_id")) & (F.col("transaction_id") == F.col("original_transaction_id"))))
-    rank = Window.partitionBy("notice_id").orderBy("done", "event_id")
-    best = hits.withColumn("_k", F.row_number().over(rank)).filter("_k = 1").select("notice_id", "event_id", "done")
-    joined = incoming.join(best, "notice_id", "left")
-    return joined.withColumn("action", F.when(F.col("event_id").isNull(), "create").when(F.col("done"), "none").otherwise("validate")).drop("done")
+    s = stored.filter("webhook_validated is not null").select(*keys, F.col("transaction_id").alias("_txn"), F.col("original_transaction_id").alias("_original"), "event_id", F.col("webhook_validated").alias("_done"))
+    i = incoming.select("notice_id", *keys, "transaction_id", F.coalesce("original_transaction_id", "transaction_id").alias("_first"))
+    by_txn = i.join(s.withColumn("transaction_id", F.col("_txn")), [*keys, "transaction_id"]).select("notice_id", "event_id", "_done", F.lit(0).alias("_by"))
+    first = i.filter((F.trim("transaction_id") != "") & (F.col("transaction_id") == F.col("_first")))
+    by_original = first.join(s.withColumn("_first", F.col("_original")), [*keys, "_first"]).select("notice_id", "event_id", "_done", F.lit(1).alias("_by"))
+    if not validated_by_original:
+        by_original = by_original.filter("not _done")
+    best = by_txn.union(by_original).groupBy("notice_id").agg(F.min(F.struct("_done", "_by", "event_id")).alias("_best"))
+    joined = incoming.join(best, "notice_id", "left").withColumns({"event_id": F.col("_best.event_id"), "_done": F.col("_best._done")})
+    return joined.withColumn("action", F.when(F.col("event_id").isNull(), "create").when(F.col("_done"), "none").otherwise("validate")).drop("_done", "_best")
 
 
 #: What a store's notice means for purchases (fixed values).
@@ -166,12 +173,20 @@ def refund_quantities(purchases: DataFrame) -> DataFrame:
     return bought.select("event_id", *key, F.greatest(F.col("quantity") - F.coalesce("_refunded", F.lit(0)), F.lit(0)).cast("long").alias("refundable"))
 
 
-def product_change_cancels(purchases: DataFrame, group: str = "device_id") -> DataFrame:
-    """For each group its last buy, and the last buy of another product before it if that product's latest event is a
-    buy: the one to cancel."""
-    latest = purchases.filter(F.col(group).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy("project_id", group, "product_id").orderBy(F.desc("date"), F.desc("event_id")))).filter("_k = 1 and event_type = 'buy'")
-    ranked = latest.withColumn("_r", F.row_number().over(Window.partitionBy("project_id", group).orderBy(F.desc("date"), F.desc("event_id"))))
-    return ranked.filter("_r = 2").select("project_id", group, F.col("product_id").alias("canceled_product"), F.col("event_id").alias("canceled_event"))
+def product_change_cancels(purchases: DataFrame, changes: DataFrame) -> DataFrame:
+    """For each change (change_id, project_id, original_transaction_id, product_id: the new one) the buy to cancel: the
+    last buy of another product of the subscription, if that product's latest event is a buy, and unless it was cancelled by a
+    change already. Times are those of ``date``, then event_id."""
+    group = ["project_id", "original_transaction_id"]
+    order = F.struct(*ORDER)
+    bought = F.when(F.col("event_type") == "buy", order)
+    last = purchases.filter("trim(original_transaction_id) <> ''").groupBy(*group, F.col("product_id").alias("canceled_product")).agg(
+        F.max(bought).alias("_at"), F.max_by("event_id", bought).alias("canceled_event"), F.max_by("transaction_id", bought).alias("_txn"), F.max_by("event_type", order).alias("_latest")
+    )
+    found = changes.filter("trim(product_id) <> ''").join(last.filter("_at is not null"), group).filter("canceled_product <> product_id")
+    best = found.groupBy("change_id", "project_id").agg(F.max_by(F.struct("canceled_product", "canceled_event", "_txn", "_latest"), "_at").alias("_best")).select("change_id", "project_id", "_best.*")
+    made = best.filter("_latest = 'buy'").withColumn("transaction_id", F.concat("_txn", F.lit("_product_change_cancel")))
+    return made.join(purchases.select("project_id", "transaction_id"), ["project_id", "transaction_id"], "left_anti").select("change_id", "project_id", "canceled_product", "canceled_event", "transaction_id")
 
 
 def pick_price(prices):

@@ -69,9 +69,18 @@ def a5(b: Base):
     return a.actions_in_window(_opens(b), b.actions, 360).select("open_id", "device_id", "action_id", "action_link_id")
 
 
-@query("A6_create_action_if_needed", "SELECT action_id FROM (SELECT x.action_id, x.at - lag(x.at) OVER (PARTITION BY x.device_id, x.link_id ORDER BY x.at, x.action_id) AS gap FROM actions x) x WHERE gap IS NULL OR gap > INTERVAL 1440 MINUTE")
+@query(
+    "A6_create_action_if_needed",
+    "SELECT action_id FROM stored",
+    """starts AS (SELECT x.device_id, x.link_id, arg_min(x.action_id, (x.at, x.action_id)) AS action_id, min(x.at) AS moment FROM actions x GROUP BY x.device_id, x.link_id),
+stored(device_id, link_id, action_id, moment) AS (
+  SELECT f.device_id, f.link_id, f.action_id, f.moment FROM starts f UNION ALL
+  SELECT s.device_id, s.link_id, arg_min(x.action_id, (x.at, x.action_id)), min(x.at) FROM stored s JOIN actions x ON x.device_id = s.device_id AND x.link_id = s.link_id
+  AND x.at > s.moment + INTERVAL 7200 MINUTE GROUP BY s.device_id, s.link_id
+)""",
+)
 def a6(b: Base):
-    return a.new_actions(b.actions, 1440).select("action_id")
+    return a.new_actions(b.actions, 7200).select("action_id")
 
 
 @query("A7_mark_handled_before", "SELECT a.action_id, a.at <= coalesce((SELECT max(o.at) FROM opens o WHERE o.device_id = a.device_id AND o.open_id % 5 = 0), TIMESTAMP '1970-01-01') AS handled FROM actions a", OPENS)
@@ -133,15 +142,41 @@ def a14(b: Base):
     return _urls(b).select("url_id", expr.append_utm(F.col("url"), source=F.lit("app"), campaign=campaign).alias("url"))
 
 
+#: Log lines, and what is to be made of them: type, severity, number, error class, status, trace, error type.
+LOGS = [
+    ('{"timestamp":"t","level":"error","message":"x"}', "json_structured", "ERROR", 17, None, None, None, None),
+    ('{"level": "ERR", "message": "x"}', "json_structured", "ERROR", 17, None, None, None, None),
+    ('{"level":"Critical","trace_id":"0af7651916cd43dd"}', "json_structured", "FATAL", 21, None, None, "0af7651916cd43dd", None),
+    ('{"level":"trace"}', "json_structured", "TRACE", 1, None, None, None, None),
+    ('{"level":"debug"}', "json_structured", "DEBUG", 5, None, None, None, None),
+    ('{"level":"warning"}', "json_structured", "WARN", 13, None, None, None, None),
+    ('{"level":"notice"}', "json_structured", "INFO", 9, None, None, None, None),
+    ('{"level":"INFO","message":"{\\"status\\":503}","service":"s"}', "json_structured", "INFO", 9, None, 503, None, None),
+    ('E, [2024-01-01T00:00:00.1 #12] ERROR -- : Db::TimeoutError: pool', "rails", "ERROR", 17, "TimeoutError", None, None, None),
+    ('I, [2024-01-01T00:00:00.1 #12]  INFO -- : [id] {"method":"GET","path":"/a","status":404}', "rails_structured", "WARN", 13, None, 404, None, None),
+    ('I, [2024-01-01T00:00:00.1 #12]  INFO -- : {"status":500} FATAL', "rails_structured", "FATAL", 21, None, 500, None, "fatal_error"),
+    ('F, [2024-01-01T00:00:00.1 #12] FATAL -- : gone', "rails", "FATAL", 21, None, None, None, None),
+    ('W, [2024-01-01T00:00:00.1 #12]  WARN -- : slow   ', "rails", "WARN", 13, None, None, None, None),
+    ('GET /a status=404 12ms', "application", "INFO", 9, None, None, None, None),
+    ('started', "test_message", "INFO", 9, None, None, None, None),
+    (None, None, "INFO", 9, None, None, None, None),
+]
+
+
+def _literal(x) -> str:
+    return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+
+
 @query(
     "A15_log_classify",
-    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'WARN' WHEN 2 THEN 'ERROR' WHEN 3 THEN 'WARN' ELSE 'INFO' END AS severity, CASE event_id % 5 WHEN 0 THEN 17 WHEN 1 THEN 13 WHEN 2 THEN 17 WHEN 3 THEN 13 ELSE 9 END AS severity_number,
-       CASE WHEN event_id % 5 = 2 THEN 'Db::TimeoutError' END AS error_class FROM a_events""",
+    f"""SELECT event_id, CAST(log_type AS VARCHAR) AS log_type, severity, severity_number, CAST(error_class AS VARCHAR) AS error_class, CAST(http_status AS INTEGER) AS http_status,
+       CAST(trace_id AS VARCHAR) AS trace_id, CAST(error_type AS VARCHAR) AS error_type
+       FROM a_events JOIN (VALUES {", ".join(f"({k}, {', '.join(map(_literal, x[1:]))})" for k, x in enumerate(LOGS))}) l(k, log_type, severity, severity_number, error_class, http_status, trace_id, error_type) ON k = event_id % {len(LOGS)}""",
 )
 def a15(b: Base):
-    kinds = ['{"level": "error", "msg": "x"}', "GET /a status=404 12ms", "Db::TimeoutError: fatal pool status=503", '{"level":"warning"}', "started"]
-    line = F.element_at(F.array(*[F.lit(x) for x in kinds]), (F.col("event_id") % 5 + 1).cast("int"))
-    return a.classify_logs(b.t.events.select("event_id", line.alias("line"))).drop("line")
+    line = F.element_at(F.array(*[F.lit(x[0]) for x in LOGS]), (F.col("event_id") % len(LOGS) + 1).cast("int"))
+    made = a.classify_logs(b.t.events.select("event_id", line.alias("line")))
+    return made.select("event_id", "log_type", "severity", "severity_number", "error_class", F.col("http_status").cast("int"), "trace_id", "error_type")
 
 
 @query("A16_tenant_delete", "SELECT event_id, project_id FROM a_events WHERE project_id NOT IN (SELECT project_id FROM instances WHERE instance_id = 1)")

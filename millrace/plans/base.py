@@ -104,7 +104,7 @@ def _by_type() -> str:
 
 
 SQL_BASE = (
-    "WITH "
+    "WITH RECURSIVE "
     + ",\n".join(f"{name} AS ({text})" for name, text in VIEWS.items())
     + f""",
 all_events AS (

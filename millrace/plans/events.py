@@ -29,7 +29,15 @@ def lookup(b: Base):
     return ingest.with_visitors(b.t.events, b.t.visitors).select("event_id", "visitor_id", "inviter_id")
 
 
-@query("I4_view_dedup_batch")
+@query(
+    "I4_view_dedup_batch",
+    "SELECT e.event_id, e.device_id, e.event, e.created_at FROM a_events e WHERE e.event <> 'view' UNION ALL SELECT event_id, device_id, 'view', created_at FROM kept",
+    f"""kept(device_id, event_id, created_at) AS (
+  SELECT device_id, arg_min(event_id, (created_at, event_id)), min(created_at) FROM a_events WHERE event = 'view' GROUP BY device_id UNION ALL
+  SELECT k.device_id, arg_min(v.event_id, (v.created_at, v.event_id)), min(v.created_at) FROM kept k JOIN a_events v ON v.event = 'view' AND v.device_id = k.device_id
+  AND v.created_at > k.created_at + INTERVAL {GAP} SECOND GROUP BY k.device_id
+)""",
+)
 def dedup_fixed(b: Base):
     return ingest.dedup_views_fixed(b.t.events, GAP).select("event_id", "device_id", "event", "created_at")
 

@@ -131,15 +131,25 @@ def r14(b: Base):
     return r.attribute_from_last_visit(b.t.purchases, b.t.visitors, ingest.last_visits(b.t.events, b.t.visitors)).select("event_id", "link_id")
 
 
+TXNS = "txns AS (SELECT *, CASE WHEN event_id % 4 = 1 THEN original_transaction_id ELSE original_transaction_id || '_' || (event_id % 3) END AS txn FROM a_purchase_events)"
+
+
+def _match(done: str, by: str) -> str:
+    """The least stored event with this flag, by transaction or by stored original transaction."""
+    on = "o.txn = n.txn" if by == "txn" else "n.txn = n.original_transaction_id AND n.txn <> '' AND o.original_transaction_id = n.original_transaction_id"
+    return f"(SELECT min(o.event_id) FROM txns o WHERE o.event_id % 2 = 0 AND o.project_id = n.project_id AND o.event_type = n.event_type AND o.webhook_validated = {done} AND {on})"
+
+
 @query(
     "R15_webhook_match",
-    """SELECT i.event_id AS notice_id, s.event_id, CASE WHEN s.event_id IS NULL THEN 'create' WHEN s.done THEN 'none' ELSE 'validate' END AS action FROM txns i LEFT JOIN (
-         SELECT n.event_id AS notice, o.event_id, coalesce(o.webhook_validated, false) AS done, row_number() OVER (PARTITION BY n.event_id ORDER BY coalesce(o.webhook_validated, false), o.event_id) AS k
-         FROM txns n JOIN txns o ON o.event_id % 2 = 0 AND o.project_id = n.project_id AND o.event_type = n.event_type AND o.txn = n.txn) s ON s.notice = i.event_id AND s.k = 1""",
-    "txns AS (SELECT *, original_transaction_id || '_' || (event_id % 3) AS txn FROM a_purchase_events)",
+    f"""SELECT notice_id, coalesce(own, own_first, theirs, theirs_first) AS event_id,
+       CASE WHEN coalesce(own, own_first) IS NOT NULL THEN 'validate' WHEN coalesce(theirs, theirs_first) IS NOT NULL THEN 'none' ELSE 'create' END AS action
+       FROM (SELECT n.event_id AS notice_id, {_match("false", "txn")} AS own, {_match("false", "original")} AS own_first, {_match("true", "txn")} AS theirs, {_match("true", "original")} AS theirs_first FROM txns n) m""",
+    TXNS,
 )
 def r15(b: Base):
-    stored = b.t.purchases.withColumn("transaction_id", F.concat("original_transaction_id", F.lit("_"), (F.col("event_id") % 3).cast("string")))
+    own = F.when(F.col("event_id") % 4 == 1, F.col("original_transaction_id")).otherwise(F.concat("original_transaction_id", F.lit("_"), (F.col("event_id") % 3).cast("string")))
+    stored = b.t.purchases.withColumn("transaction_id", own)
     incoming = stored.select(F.col("event_id").alias("notice_id"), "project_id", "event_type", "transaction_id", "original_transaction_id")
     return r.match_webhooks(incoming, stored.filter("event_id % 2 = 0")).select("notice_id", "event_id", "action")
 
@@ -160,13 +170,21 @@ def r17(b: Base):
 
 @query(
     "R18_product_change_cancel",
-    """SELECT project_id, device_id, product_id AS canceled_product, event_id AS canceled_event FROM (
-         SELECT *, row_number() OVER (PARTITION BY project_id, device_id ORDER BY date DESC, event_id DESC) AS n FROM (
-           SELECT *, row_number() OVER (PARTITION BY project_id, device_id, product_id ORDER BY date DESC, event_id DESC) AS k FROM a_purchase_events WHERE device_id IS NOT NULL) x
-         WHERE k = 1 AND event_type = 'buy') y WHERE n = 2""",
+    """SELECT change_id, project_id, product_id AS canceled_product, event_id AS canceled_event, 't' || event_id || '_product_change_cancel' AS transaction_id FROM (
+         SELECT c.event_id AS change_id, o.project_id, o.product_id, o.event_id, o.subscription, row_number() OVER (PARTITION BY c.event_id ORDER BY o.date DESC, o.event_id DESC) AS k
+         FROM subs c JOIN subs o ON o.project_id = c.project_id AND o.subscription = c.subscription AND o.product_id <> c.product_id AND o.event_type = 'buy' AND o.event_id % 3 <> 0
+         WHERE c.event_id % 3 = 0 AND c.event_type = 'buy') old
+       WHERE k = 1 AND (SELECT arg_max(x.event_type, (x.date, x.event_id)) FROM subs x WHERE x.event_id % 3 <> 0 AND x.project_id = old.project_id AND x.subscription = old.subscription AND x.product_id = old.product_id) = 'buy'
+       AND event_id % 10 <> 7""",
+    "subs AS (SELECT *, 'o_' || device_id AS subscription FROM a_purchase_events)",
 )
 def r18(b: Base):
-    return r.product_change_cancels(b.t.purchases)
+    named = b.t.purchases.withColumn("original_transaction_id", F.concat(F.lit("o_"), F.col("device_id").cast("string"))).withColumn("transaction_id", F.concat(F.lit("t"), F.col("event_id").cast("string")))
+    changes = named.filter("event_id % 3 = 0 and event_type = 'buy'").select(F.col("event_id").alias("change_id"), "project_id", "original_transaction_id", "product_id")
+    stored = named.filter("event_id % 3 <> 0")
+    # Some were cancelled by an earlier change; those rows are of no product here.
+    old = stored.filter("event_id % 10 = 7").withColumns({"transaction_id": F.concat("transaction_id", F.lit("_product_change_cancel")), "event_type": F.lit("cancel"), "original_transaction_id": F.lit(None).cast("string")})
+    return r.product_change_cancels(stored.unionByName(old), changes)
 
 
 @query("R19_price_units", "SELECT event_id, CAST(floor((usd_price_cents - 3000) / 10.0) AS BIGINT) AS apple, CAST(floor((usd_price_cents - 3000) / 10000.0) AS BIGINT) AS google FROM a_purchase_events")
@@ -177,8 +195,8 @@ def r19(b: Base):
 
 @query("R20_original_transaction_id", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'GPA.' || event_id ELSE 'GPA.x' || event_id END AS original_id FROM (SELECT event_id FROM a_purchase_events) p WHERE event_id % 2 = 1 UNION ALL SELECT event_id, 'GPA' FROM a_purchase_events WHERE event_id % 2 = 0")
 def r20(b: Base):
-    order = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("GPA."), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("GPA.x"), F.col("event_id").cast("string"), F.lit(".."), (F.col("event_id") % 9).cast("string")))
-    return b.t.purchases.select("event_id", F.regexp_replace(expr.original_transaction(order), r"\.$", "").alias("original_id"))
+    order = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("GPA."), F.col("event_id").cast("string"))).otherwise(F.concat(F.lit("GPA.x"), F.col("event_id").cast("string"), F.lit("."), (F.col("event_id") % 9).cast("string")))
+    return b.t.purchases.select("event_id", expr.original_transaction(order).alias("original_id"))
 
 
 @query("R23_enqueue_unprocessed", "SELECT event_id FROM a_purchase_events WHERE event_id % 3 <> 0 AND (webhook_validated = true OR store = false)")
