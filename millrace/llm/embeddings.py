@@ -5,9 +5,10 @@
    of its own: layers of shrinking size over a random order, each node wired to LINKS neighbours chosen
    for nearness and spread.
 3. Every pair of a label's shards is one task, which searches each shard's nodes in the other's graph (and a shard's
-   own in its own). A search whose beam is full of hits is repeated with a beam four times as wide. Then AUDIT nodes
-   are compared with the whole shard; if a link of theirs was missed, all beams are doubled and the
-   search is repeated, up to a quarter of the shard, from where on all its nodes are compared.
+   own in its own). Shards are files in the shared folder, and a task gets the names of two. A search whose beam is full of
+   hits is repeated with a beam four times as wide. AUDIT nodes are compared with the whole shard; if a link of theirs
+   was missed, or more than a part of their NEAREST nodes, all beams are doubled and the search is repeated, up to a quarter of the
+   shard, from where on all its nodes are compared. The recall that the audit measures is kept with every pair.
 4. What is found is confirmed by the cosine in double precision. A task gives each node's number of links
    and a forest of its components, one row a node at most, however many links there are.
 
@@ -18,19 +19,27 @@ own. An empty table gives an empty one. Other columns are not read.
 
 from __future__ import annotations
 
+import io
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import scratch
 from millrace.llm.components import components
+from millrace.llm.names import column
 
 COSINE = 0.93
 SHARD = 8192
 LINKS, BUILD_BEAM, BEAM, SHRINK = 24, 48, 64, 16
-AUDIT = 128
+AUDIT, NEAREST, RECALL = 128, 10, 0.95
 BLOCK, STEP = 512, 4
+#: Tasks of one stage; each takes several pairs of shards where there are more.
+MOST_PARTS = 100_000
 
 
 def search(v: np.ndarray, layers: list[np.ndarray], queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,13 +175,17 @@ def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
 
 
-def find(raw: np.ndarray, v: np.ndarray, layers: list[np.ndarray], q_raw: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
-    """Which (query, node) pairs are linked, as a matrix of booleans; beams widen until the audit passes."""
+def find(raw: np.ndarray, v: np.ndarray, layers: list[np.ndarray], q_raw: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The linked (query, node) pairs, and the recall that the audit has measured. AUDIT queries are compared with
+    all nodes: their links and their NEAREST nodes are the truth, which there always is. Beams widen until all of those links
+    and RECALL of the nearest are found."""
     audited = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    true = _confirm(raw, q_raw, *[x for x in np.nonzero(q[audited] @ v.T >= least - 1e-4)], audited, least)
+    sims = q[audited] @ v.T
+    true = _confirm(raw, q_raw, *np.nonzero(sims >= least - 1e-4), audited, least)
+    near = np.argpartition(-sims, min(NEAREST, len(v)) - 1, axis=1)[:, :NEAREST]
     beam = min(BEAM, len(v))
     while True:
-        linked = np.zeros((len(q), len(v)), bool)
+        links: list[tuple[np.ndarray, np.ndarray]] = []
         for start in range(0, len(q), BLOCK):
             rows, width = np.arange(start, min(start + BLOCK, len(q))), beam
             while len(rows):
@@ -181,15 +194,21 @@ def find(raw: np.ndarray, v: np.ndarray, layers: list[np.ndarray], q_raw: np.nda
                 for some in np.array_split(rows, -(-len(rows) // many)):
                     nodes, sims = search(v, layers, q[some], width)
                     hit = (sims >= least - 1e-4) & (nodes >= 0)
-                    i, j = np.nonzero(hit)
-                    i, j = some[i], nodes[i, j]
+                    # A query whose beam is full of hits is searched again; its links come from there.
+                    again = hit.all(1) & (4 * width < len(v))
+                    full.append(some[again])
+                    i, j = np.nonzero(hit & ~again[:, None])
+                    i, j = some[i], nodes[i, j].astype(np.int64)
                     ok = _true(raw, q_raw, i, j, least)
-                    linked[i[ok], j[ok]] = True
-                    full.append(some[hit.all(1)])
-                rows = np.concatenate(full) if 4 * width < len(v) else np.empty(0, int)
+                    links.append((i[ok], j[ok]))
+                rows = np.concatenate(full)
                 width = min(4 * width, len(v))
-        if 4 * beam >= len(v) or all(linked[i, j] for i, j in true):
-            return linked
+        i, j = (np.concatenate([x[side] for x in links]) for side in (0, 1))
+        nodes, _ = search(v, layers, q[audited], beam)
+        recall = float(np.mean([len(np.intersect1d(a, b)) / near.shape[1] for a, b in zip(nodes, near, strict=True)]))
+        missing = np.setdiff1d([a * len(v) + b for a, b in true], i * len(v) + j)
+        if 4 * beam >= len(v) or (not len(missing) and recall >= RECALL):
+            return i, j, recall
         beam = min(2 * beam, len(v))
 
 
@@ -219,21 +238,52 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def _pack(layers: list[np.ndarray]) -> tuple[bytes, list[int]]:
-    return b"".join(g.tobytes() for g in layers), [len(g) for g in layers]
-
-
-def _unpack(data: bytes, sizes: list[int]) -> list[np.ndarray]:
-    flat, at, out = np.frombuffer(data, np.int32).reshape(-1, LINKS), 0, []
-    for n in sizes:
-        out.append(flat[at : at + n])
-        at += n
-    return out
+def _store(to: str, **arrays: np.ndarray) -> str:
+    """Write a shard as a file of its own below ``to``; an attempt that is repeated writes another one."""
+    store, base = fs.FileSystem.from_uri(to)
+    store.create_dir(base, recursive=True)
+    name = f"{uuid.uuid4().hex}.npz"
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    with store.open_output_stream(f"{base}/{name}") as f:
+        f.write(held.getbuffer())
+    return f"{to}/{name}"
+
+
+def _fetch(file: str) -> dict[str, np.ndarray]:
+    store, base = fs.FileSystem.from_uri(file)
+    with store.open_input_file(base) as f:
+        found = np.load(io.BytesIO(f.read()))
+        return {k: found[k] for k in found.files}
+
+
+def _layers(shard: dict[str, np.ndarray]) -> list[np.ndarray]:
+    return [shard[k] for k in sorted((k for k in shard if k.startswith("layer")), key=lambda k: int(k[5:]))]
+
+
+def compared(a: dict[str, np.ndarray], b: dict[str, np.ndarray] | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Ids, least reachable id and number of linked copies of the nodes of two shards (or one), and the recall measured."""
+    x, u = a["x"], unit(a["x"])
+    if b is None:
+        i, j, recall = find(x, u, _layers(a), x, u, least)
+        ids, copies, width = a["ids"], a["copies"], len(x)
+    else:
+        y, v = b["x"], unit(b["x"])
+        i, j, one = find(y, v, _layers(b), x, u, least)
+        k, h, other = find(x, u, _layers(a), y, v, least)
+        ids, copies, width, recall = np.concatenate([a["ids"], b["ids"]]), np.concatenate([a["copies"], b["copies"]]), len(x) + len(y), min(one, other)
+        i, j = np.concatenate([i, h]), np.concatenate([j, k]) + len(x)
+    i, j = i[i != j], j[i != j]
+    pairs = np.unique(np.concatenate([np.minimum(i, j) * width + np.maximum(i, j)]))
+    i, j = pairs // width, pairs % width
+    # Sums of whole numbers below 2**53 are exact in double precision.
+    counts = (np.bincount(i, copies[j], width) + np.bincount(j, copies[i], width)).astype(np.int64)
+    return ids, ids[forest(i, j, width)], counts, recall
 
 
 def near_duplicates(df: DataFrame, least: float = COSINE, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"), F.col(label).alias("label"))
+    rows = df.select(column(key).cast("long").alias("vec_id"), column(vector).cast("array<double>").alias("x"), column(label).alias("label"))
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     valid = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull()).filter(~bad & F.exists("x", lambda c: c != 0))
     nodes = valid.groupBy("label", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
@@ -241,42 +291,35 @@ def near_duplicates(df: DataFrame, least: float = COSINE, key: str = "vec_id", v
     per = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / SHARD).cast("long").alias("shards"))
     dealt = nodes.join(per, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("x"), F.col("shards")))
 
+    to = scratch.folder(df.sparkSession, "shards")
+
     def graph(t: pa.Table) -> pa.Table:
         x = np.array(t.column("x").to_pylist(), np.float64)
         order = np.random.default_rng(len(x)).permutation(np.argsort(t.column("id").to_numpy(), kind="stable"))
         x = x[order]
-        data, sizes = _pack(build(unit(x)))
-        one = {"label": t.column("label")[:1], "dim": t.column("dim")[:1], "shard": t.column("shard")[:1]}
-        ids, copies = t.column("id").to_numpy()[order].tobytes(), t.column("copies").to_numpy()[order].tobytes()
-        return pa.table({**one, "ids": [ids], "copies": [copies], "x": [x.tobytes()], "graph": [data], "sizes": pa.array([sizes], pa.list_(pa.int64()))})
+        layers = {f"layer{k}": g for k, g in enumerate(build(unit(x)))}
+        file = _store(to, ids=t.column("id").to_numpy()[order], copies=t.column("copies").to_numpy()[order], x=x, **layers)
+        return pa.table({"label": t.column("label")[:1], "dim": t.column("dim")[:1], "shard": t.column("shard")[:1], "file": [file]})
 
     kind = dict(nodes.dtypes)["label"]
-    shards = dealt.groupBy("label", "dim", "shard").applyInArrow(graph, f"label {kind}, dim int, shard long, ids binary, copies binary, x binary, graph binary, sizes array<long>")
-    shards = scratch.table(shards, "graphs")
-    own = ["ids", "copies", "x", "graph", "sizes"]
-    other = shards.select("label", "dim", F.col("shard").alias("other"), *[F.col(c).alias(f"o_{c}") for c in own])
-    tasks = shards.join(other, ["label", "dim"]).filter("shard <= other")
-
-    def compare(t: pa.Table) -> pa.Table:
-        row = t.slice(0, 1).to_pylist()[0]
-        side = lambda p: (np.frombuffer(row[p + "ids"], np.int64), np.frombuffer(row[p + "copies"], np.int64), np.frombuffer(row[p + "x"], np.float64).reshape(-1, row["dim"]), _unpack(row[p + "graph"], row[p + "sizes"]))
-        ids, copies, x, layers = side("")
-        if row["shard"] == row["other"]:
-            linked = find(x, unit(x), layers, x, unit(x), least)
-            linked |= linked.T
-            np.fill_diagonal(linked, False)
-            i, j = np.nonzero(linked)
-            names, counts, n = ids, linked @ copies, len(ids)
-        else:
-            o_ids, o_copies, y, o_layers = side("o_")
-            linked = find(y, unit(y), o_layers, x, unit(x), least) | find(x, unit(x), layers, y, unit(y), least).T
-            i, j = np.nonzero(linked)
-            names, counts, n = np.concatenate([ids, o_ids]), np.concatenate([linked @ o_copies, linked.T @ copies]), len(ids) + len(o_ids)
-            j = j + len(ids)
-        root = names[forest(i, j, n)]
-        return pa.table({"id": pa.array(names, pa.int64()), "root": pa.array(root, pa.int64()), "n": pa.array(counts, pa.int64())})
-
-    found = scratch.table(tasks.groupBy("label", "dim", "shard", "other").applyInArrow(compare, "id long, root long, n long"), "found")
+    shards = scratch.table(dealt.groupBy("label", "dim", "shard").applyInArrow(graph, f"label {kind}, dim int, shard long, file string"), "graphs")
+    # A task is a pair of names; it fetches the two shards itself, so nothing is copied for the others.
+    other = shards.select("label", "dim", F.col("shard").alias("other"), F.col("file").alias("o_file"))
+    tasks = shards.join(other, ["label", "dim"]).filter("shard <= other").select("file", "o_file")
+    parts = max(1, tasks.count())
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, o_file in zip(batch.column("file").to_pylist(), batch.column("o_file").to_pylist(), strict=True):
+                ids, root, counts, recall = compared(_fetch(file), None if file == o_file else _fetch(o_file), least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(counts), pa.array(np.full(len(ids), recall))], ["id", "root", "n", "recall"])
+
+    dealt_tasks = tasks.repartition(min(parts, MOST_PARTS), "file", "o_file")
+    found = scratch.table(dealt_tasks.mapInArrow(compare, "id long, root long, n long, recall double"), "found")
+    scratch.delete(df.sparkSession, to)
+    lowest = found.agg(F.min("recall")).first()[0]
+    if lowest is not None and lowest < RECALL:  # the last beam compares all nodes
+        raise ValueError(f"the audit has found only {lowest} of the nearest nodes")
     joined = components(found.filter("id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     summed = nodes.join(counts, "id").join(joined, nodes.id == joined.node, "left")
