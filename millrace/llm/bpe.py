@@ -6,7 +6,8 @@ joins the tokens' raw bytes.
 
 Null texts count as empty and give no ids. Texts of any length are encoded whole; long runs of white
 space, which the library's pattern cannot match, are cut where its matches would end. Rows repeat
-as they come; other columns pass through untouched. The three new columns replace any of their names.
+as they come; other columns pass through untouched, whatever their names, but for ids and decoded, which are replaced. An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.arrow import binary_lists, slices
+from millrace.llm.names import column
 from millrace.llm.words import chunks
 
 #: Chunks a worker remembers (about 200 bytes each); then it starts again.
@@ -136,7 +138,7 @@ def decode(df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", out: s
 def digests(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Counts and SHA-256 digests of encoded rows."""
     return encoded.select(
-        key,
+        column(key).alias(key),
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col(ids).cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col(decoded), 256).alias("decoded_sha256"),

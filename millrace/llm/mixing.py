@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import scratch
+from millrace.llm.names import column, packed, unpacked
 from millrace.llm.words import SPACES
 
 BITS, LEVELS = 12, 4
@@ -107,7 +108,7 @@ BROADCAST_ROWS = 1_000_000
 
 def plan(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """_s, source_size, target, passes and threshold of every source; a stored table."""
-    slim = df.select(F.col(source).cast("string").alias("source"), size(F.col(text)).alias("size"), digest(F.col(key)).alias("hash"))
+    slim = df.select(column(source).cast("string").alias("source"), size(column(text).cast("string")).alias("size"), digest(column(key)).alias("hash"))
     sized = scratch.table(slim, "sizes")
     budgets = scratch.table(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), **how), "targets")
     edges = thresholds(sized, budgets)
@@ -129,15 +130,15 @@ def _copies(key: str) -> Column:
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every row."""
-    slim = df.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), size(F.col(text)).alias("size"))
+    slim = df.select(column(key).alias("doc_id"), column(source).cast("string").alias("source"), size(column(text).cast("string")).alias("size"))
     taken = _planned(slim, plan(df, key, text, source, **how), "source").withColumn("copies", _copies("doc_id"))
     return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def resample(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The rows of the mix: each as often as it is taken, with its own columns."""
-    row = F.struct(*df.columns).alias("_row")
+    row = packed(df.columns).alias("_row")
     by = plan(df, key, text, source, **how)
-    planned = _planned(df.select(row, F.col(source).alias("_source"), F.col(key).alias("_key")), by, "_source")
+    planned = _planned(df.select(row, column(source).alias("_source"), column(key).alias("_key")), by, "_source")
     repeated = planned.withColumn("_copies", _copies("_key")).filter("_copies > 0")
-    return repeated.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
+    return repeated.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*unpacked("_row", df.columns))

@@ -60,7 +60,7 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    found = quality.judge(_documents(spark, sf_dir).select("doc_id", "text"), trusted)
+    found = quality.judge(_documents(spark, sf_dir).select("doc_id", "text"), trusted)  # no other column is read
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

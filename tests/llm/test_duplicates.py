@@ -163,3 +163,40 @@ def test_queries_on_the_small_tables(spark, name):
         assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == near(rows)
     else:
         assert sorted([(r.doc_id, r.n_words, r.n_removed) for r in got], key=str) == [x[:3] for x in removed(rows)]
+
+
+def test_a_passage_in_all_documents_and_odd_names(spark, monkeypatch):
+    """One passage everywhere, null ids, hot prefixes down to whole passages, and names that meet the operator's own."""
+    monkeypatch.setattr(substrings, "FLUSH", 500)
+    hot = " ".join(f"h{k % 7}" for k in range(30))
+    rows = [(None if i % 9 == 0 else i % 50, f"a{i} b{i} " + hot + " " + " ".join(f"c{i * k}" for k in range(20)) + " " + "x" * 100) for i in range(120)]
+    names = ["_bucket", "bucket", "row", "words", "key", "kept", "n_words", "a.b", "a`c"]
+    df = spark.createDataFrame([(i, t, *[f"mine {n}" for n in names]) for i, t in rows], ["doc_id", "text", *names]).repartition(5)
+    for group in (20, substrings.GROUP):
+        got = substrings.remove_repeats(df, group=group, prefix="_cut_").collect()
+        assert sorted([(r.doc_id, r._cut_n_words, r._cut_n_removed, r._cut_kept) for r in got], key=str) == removed(rows)
+        assert all(r[n] == f"mine {n}" for r in got for n in names)
+    assert substrings.remove_repeats(df).columns.count("kept") == 1
+
+
+def test_the_trees_of_a_group():
+    rng = random.Random(2)
+    segments = [[rng.choice("abc") for _ in range(rng.randint(13, 22))] for _ in range(60)]
+    numbers = np.array([ord(c) for x in segments for c in x], np.uint32)
+    tree = substrings.Tree(numbers, np.array([len(x) for x in segments]), 13)
+    leaves = ["".join(segments[s][o : o + 13]) for s, o in zip(tree.segment[tree.order], tree.offset[tree.order], strict=True)]
+    assert leaves == sorted(leaves) and len(leaves) == sum(len(x) - 12 for x in segments)
+    for k in range(1, len(leaves)):
+        assert tree.common[k] == next((i for i in range(13) if leaves[k][i] != leaves[k - 1][i]), 13)
+    for depth in (1, 3, 13):
+        node = tree.deep(depth)
+        assert all((node[k] == node[k - 1]) == (leaves[k][:depth] == leaves[k - 1][:depth]) for k in range(1, len(leaves)))
+
+
+def test_equal_hashes_of_different_passages(monkeypatch):
+    found = substrings.Suffixes(13, [])
+    found.add([" ".join(f"{p}{k}" for k in range(13)) for p in "abab"], [4, 3, 2, 1])
+    found.close()
+    found.path[:] = 7
+    first, later = found.first_of_equal()
+    assert first.all() and not later.any()

@@ -207,3 +207,24 @@ def test_graph_search_recall():
     true = np.argsort(-(v[:200] @ v.T), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(nodes.tolist(), true.tolist(), strict=True)]) >= 0.9
     assert [len(g) for g in layers] == [3000, 188, 12]
+
+
+def test_graphs_find_the_links_of_large_shards(spark, monkeypatch):
+    """Above 256 vectors a shard the graphs are walked: links and recall against brute force, end to end."""
+    monkeypatch.setattr(embeddings, "SHARD", 700)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(500, 24))
+    x = (centres[rng.integers(500, size=2400)] + rng.normal(size=(2400, 24)) * rng.choice([0.1, 0.2, 0.25, 2.0], size=(2400, 1))).astype(np.float32).astype(float)
+    walked = []
+    search = embeddings.search
+    monkeypatch.setattr(embeddings, "search", lambda v, layers, q, beam: walked.append(4 * beam < len(v)) or search(v, layers, q, beam))
+    one = {"ids": np.arange(900), "copies": np.ones(900, np.int64), "x": x[:900], **{f"layer{k}": g for k, g in enumerate(embeddings.build(embeddings.unit(x[:900])))}}
+    ids, root, n, recall = embeddings.compared(one, None, embeddings.COSINE)
+    assert any(walked) and recall >= embeddings.RECALL
+    want = exact_links([(i, list(x[i]), 0) for i in range(900)])
+    assert sum(c for _, c, _ in want) > 500 and sum(n) >= 0.99 * sum(c for _, c, _ in want)
+    assert all(n[i] <= c for i, c, _ in want)
+    df = spark.createDataFrame([(i, v.tolist(), 1, "clash", 0.5) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, file string, recall double")
+    got = {(r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(df.repartition(3)).collect()}
+    want = exact_links([(i, v.tolist(), 1) for i, v in enumerate(x)])
+    assert len(got & want) >= 0.99 * len(want)

@@ -57,3 +57,17 @@ def test_odd_rows(spark):
     for name, stage in corpus_pipeline.STAGES:
         got = stage(spark, docs, FOLDER).collect()
         assert name == "quality rules" or any(r.doc_id == 4 for r in got)
+
+
+def test_names_that_meet_the_stages_own(spark):
+    """Columns of any name keep their values through the stages that return the columns of documents."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    names = ["kept", "n_words", "n_removed", "_row", "_copies", "_quality_kept", "_cut_kept", "_gone", "same", "id", "key", "row", "a.b", "score"]
+    for n in names:
+        docs = docs.withColumn(n, corpus_pipeline.F.concat(corpus_pipeline.F.lit(f"{n} of "), corpus_pipeline.F.col("doc_id").cast("string")))
+    columns, cut = docs.columns, 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, FOLDER), "stage")
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names), name
