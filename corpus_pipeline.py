@@ -34,9 +34,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near-duplicates stays, all its rows with it. Null and empty texts
     and null ids are linked with nothing and stay; an empty table gives an empty one. Only doc_id and text are read."""
-    gone = scratch.table(minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    name = fresh(docs.columns, "_gone")
+    gone = scratch.table(minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, column("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, column("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
