@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -94,25 +95,37 @@ class Suffixes:
 
     def add(self, texts: list[str | None], keys: list[int | None]) -> None:
         """Documents without a key have no passages, and rows with one key and text have the same places."""
-        all_words: list[bytes] = []
-        counts, tags = [], []
-        for text, key in zip(texts, keys, strict=True):
-            words = (text or "").encode().split() if key is not None else []
-            tags.append(tag(text) if len(words) >= self.window else 0)
-            if len(words) < self.window or (key, tags[-1]) in self.seen:
-                words = []
+        tags, repeated = [], set()
+        for k, (text, key) in enumerate(zip(texts, keys, strict=True)):
+            tags.append(0 if text is None or key is None else tag(text))
+            if text is None or key is None or (key, tags[-1]) in self.seen:
+                repeated.add(k)
             else:
                 self.seen.add((key, tags[-1]))
-            all_words += words
-            counts.append(len(words))
-            self.waiting += max(0, len(words) - self.window + 1)
-        self.parts.append(np.fromiter(map(self.numbers.__getitem__, all_words), np.int32, len(all_words)))
+        given = pa.array([None if k in repeated else t for k, t in enumerate(texts)], pa.large_string())
+        # The six ASCII blanks are what cuts words; at the ends of a text they leave an empty one.
+        split = pc.ascii_split_whitespace(pc.fill_null(given, ""))
+        coded = split.values.dictionary_encode()
+        names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        of, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
+        counts = np.diff(ends)
+        empty = names.index(b"") if b"" in names else -1
+        if empty >= 0:
+            real = of != empty
+            counts = np.diff(np.r_[0, np.cumsum(real)][ends])
+            of = of[real]
+        if (counts < self.window).any():
+            of = of[np.repeat(counts >= self.window, counts)]
+            counts = np.where(counts < self.window, 0, counts)
+        self.waiting += int(np.maximum(counts - self.window + 1, 0).sum())
+        numbers = np.fromiter((0 if k == empty else self.numbers[w] for k, w in enumerate(names)), np.int32, len(names))
+        self.parts.append(numbers[of])
         self.counts.append(np.array(counts, np.int64))
         self.keys.append(np.array([0 if k is None else k for k in keys], np.int64))
         self.tags.append(np.array(tags, np.uint64))
 
-    def close(self) -> None:
-        """Lay out what was added: for every passage its document, start, anchor and hash."""
+    def close(self, paths: bool = True) -> None:
+        """Lay out what was added: for every passage its document, start, anchor and, if asked for, hash."""
         w = self.window
         self.words = np.concatenate([*self.parts, np.empty(0, np.int32)])
         counts = np.concatenate([*self.counts, np.empty(0, np.int64)])
@@ -125,7 +138,7 @@ class Suffixes:
         self.document = owner[self.start]
         own = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, self.numbers.names)), ">u8").astype(np.uint64)
         self.hashes = own[self.words] if len(self.words) else np.empty(0, np.uint64)
-        self.path = window_hashes(self.hashes, w)[self.start] if n else np.empty(0, np.uint64)
+        self.path = window_hashes(self.hashes, w)[self.start] if n and paths else np.empty(0, np.uint64)
         best = window_hashes(self.hashes, min(w, max(PREFIXES)))
         first, at = best, np.zeros(n, np.int8)
         best = best[:n].copy()
@@ -178,7 +191,7 @@ def prefix_counts(df: DataFrame, bits: int, window: int) -> DataFrame:
         for batch in slices(batches, "text", CHUNK_BYTES):
             found = Suffixes(window, [])
             found.add(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist())
-            found.close()
+            found.close(paths=False)
             parts = [_counted(found.prefix(k, bits), bits) for k in PREFIXES]
             level = np.repeat(np.arange(len(PREFIXES), dtype=np.int32), [len(x) for x, _ in parts])
             often = np.bincount(found.words, minlength=1)
