@@ -99,17 +99,17 @@ class Encoder:
         parts = pc.split_pattern(given.take(pa.array(plain)), " ")
         ends = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
-        of = coded.indices.to_numpy().astype(np.int64)
+        of = coded.indices.to_numpy().astype(np.int32)
         names = coded.dictionary.to_pylist()
         of_first = of[ends[:-1]]
         of[ends[:-1]] = len(names) + np.arange(len(plain))
         ids = self._chunks([" " + x for x in names]) + self._chunks([names[x] for x in of_first.tolist()])
         flat = np.frombuffer(b"".join(ids), f"<u{self.width}")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
-        starts = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // self.width
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
         counts = sizes[of]
-        upto = np.cumsum(counts)
-        made = flat[np.arange(upto[-1]) + np.repeat(starts[of] - (upto - counts), counts)].tobytes()
+        upto = np.cumsum(counts, dtype=np.int32)  # a batch has a few million ids, or those of one text
+        made = flat[np.arange(upto[-1], dtype=np.int32) + np.repeat(starts[of] - (upto - counts), counts)].tobytes()
         last = 0
         for k, end in zip(plain.tolist(), (upto[ends[1:] - 1] * self.width).tolist(), strict=True):
             out[k] = made[last:end]
