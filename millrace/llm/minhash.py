@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from millrace.llm import scratch
 from millrace.llm.arrow import slices
 from millrace.llm.components import components
+from millrace.llm.names import column
 from millrace.llm.words import mix, window_hashes, word_hashes
 
 WORDS = 5
@@ -48,8 +49,8 @@ LEAST = {85: 0.68, 80: 0.55}
 FEWEST = 64
 BLOCK = 512
 KEPT = np.uint64(2**48 - 1)
-#: Rows of ids that may be broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows of ids that may be broadcast (some 60 bytes each in memory); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -117,7 +118,7 @@ def sketch(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 ["doc_id", "n_shingles", "same", "sketch"],
             )
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -282,7 +283,7 @@ def _joining(t: pa.Table, percent: int) -> pa.RecordBatch:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row, linked from a similarity of ``percent`` (one of LEAST) up."""
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = df.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text"))
     sketches = scratch.table(sketch(df, key, text), "sketches")
     groups = sketches.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"))
     groups = scratch.table(groups, "groups")
@@ -311,6 +312,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     scratch.drop(sets)
 
     of_group = groups.join(joined, groups.id == joined.node, "left").select("same", F.coalesce("component", "id").alias("_component"))
-    out = sketches.select("doc_id", "n_shingles", "same").join(of_group, "same", "left")
+    out = sketches.filter("same is not null").select("doc_id", "n_shingles", "same").join(of_group, "same", "left").drop("same")
+    # Texts without words meet no group; they are no key of the join.
+    out = out.unionByName(sketches.filter("same is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("_component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
