@@ -180,10 +180,6 @@ def campaign_statistics(campaigns: DataFrame, links: DataFrame, lds: DataFrame,
     return ordered(made, [*METRICS, "name"], sort_by, ascending, [F.desc("campaign_id")], "campaign_id")
 
 
-def _metric_names() -> dict[str, str]:
-    return {e: e for e in EVENTS}
-
-
 def event_metrics_by_link(events: DataFrame, start: str, end: str) -> DataFrame:
     """For every link the count of each event type, and a running mean of engagement per device over the types by name."""
     own = events.filter(F.col("link_id").isNotNull() & moments(start, end))
@@ -408,8 +404,3 @@ def cache_report(hits: DataFrame) -> DataFrame:
     """(model, hits, misses): rates by model and for all."""
     made = hits.rollup("model").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
     return made.select(F.coalesce("model", F.lit("TOTAL")).alias("model"), "hits", "misses", ratio(F.col("hits") * 100, F.col("hits") + F.col("misses"), 2).alias("rate"))
-
-
-def keep_top(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in an order."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")

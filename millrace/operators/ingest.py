@@ -9,6 +9,8 @@ from millrace.functions.expr import metric_name, metric_platform, metric_value
 from millrace.functions.folds import apart
 from millrace.schemas import EVENTS, RAW_EVENT
 
+#: What events take from their device.
+DEVICE = ["platform", "app_version", "build", "vendor_id", "ip", "remote_ip"]
 #: Order of arrival, wherever first or last counts.
 ARRIVAL = ("created_at", "event_id")
 
@@ -22,9 +24,10 @@ def parse(raw: DataFrame, now: Column, value: str = "value") -> DataFrame:
     return known.select(F.col("type").alias("event"), "project_id", "device_id", "link_id", "engagement_time", "data", when.alias("created_at"))
 
 
-def enrich(events: DataFrame, devices: DataFrame, visitors: DataFrame, links: DataFrame) -> DataFrame:
-    """Device attributes and link path on every event; events of unknown devices go, unknown links become null."""
-    known = devices.select("device_id", "platform", "app_version")
+def enrich(events: DataFrame, devices: DataFrame, links: DataFrame) -> DataFrame:
+    """Device attributes (all that ``devices`` has) and link path on every event; events of unknown devices go, unknown links
+    become null. Attributes that an event brings itself stay."""
+    known = devices.select("device_id", *[c for c in DEVICE if c in devices.columns and c not in events.columns])
     paths = links.select(F.col("link_id").alias("_link"), F.col("path"))
     joined = events.join(known, "device_id").join(paths, F.col("link_id") == F.col("_link"), "left")
     return joined.withColumn("link_id", F.col("_link")).withColumn("processed", F.lit(True)).drop("_link")

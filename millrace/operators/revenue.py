@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.expr import is_buy, is_cancellation, like_term, purchase_platform, ratio, revenue_delta, validated
+from millrace.functions.expr import is_buy, is_cancellation, like_term, metric_platform, purchase_platform, ratio, revenue_delta, validated
 
 ORDER = ("date", "event_id")
 
@@ -165,6 +165,19 @@ def google_event(code):
     return out
 
 
+def reattributions(priced: DataFrame, devices: DataFrame) -> DataFrame:
+    """What late devices move: purchases counted under their store's platform (or ``unknown``) before the device was known go
+    from there to the device's platform. Deltas by project, date and platform, to be added to a day's metrics."""
+    own = priced.select("project_id", "event_date", "device_id", "store_source", "delta", "buy", "cancellation").join(devices.select("device_id", metric_platform(F.col("platform")).alias("_new")), "device_id")
+    own = own.withColumn("_old", F.when(F.col("store_source") == "apple", "ios").when(F.col("store_source") == "google", "android").otherwise("unknown")).filter("_old <> _new")
+    ways = own.withColumn("_way", F.explode(F.array(F.struct(F.col("_new").alias("platform"), F.lit(1).alias("sign")), F.struct(F.col("_old").alias("platform"), F.lit(-1).alias("sign")))))
+    sign = F.col("_way.sign")
+    total = lambda c: F.sum(sign * c).cast("long")
+    return ways.groupBy("project_id", "event_date", F.col("_way.platform").alias("platform")).agg(
+        total(F.coalesce("delta", F.lit(0))).alias("revenue"), total(F.coalesce("buy", F.lit(False)).cast("int")).alias("units_sold"), total(F.coalesce("cancellation", F.lit(False)).cast("int")).alias("cancellations")
+    )
+
+
 def refund_quantities(purchases: DataFrame) -> DataFrame:
     """What is left to refund of each buy: its quantity less what its transaction and product had refunded."""
     key = ["original_transaction_id", "product_id"]

@@ -36,7 +36,7 @@ class Base:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return ingest.enrich(self.events, self.t.devices, self.t.visitors, self.t.links)
+        return ingest.enrich(self.events, self.t.devices, self.t.links)
 
     @cached_property
     def vds(self) -> DataFrame:

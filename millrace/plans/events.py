@@ -21,7 +21,7 @@ def parse(b: Base):
 
 @query("I2_enrich_events", "SELECT event_id, project_id, device_id, link_id, path, raw_platform AS platform, app_version, true AS processed FROM en WHERE event <> 'user_referred'")
 def enrich(b: Base):
-    return ingest.enrich(b.t.events, b.t.devices, b.t.visitors, b.t.links).select("event_id", "project_id", "device_id", "link_id", "path", "platform", "app_version", "processed")
+    return ingest.enrich(b.t.events, b.t.devices, b.t.links).select("event_id", "project_id", "device_id", "link_id", "path", "platform", "app_version", "processed")
 
 
 @query("I3_visitor_lookup", "SELECT event_id, visitor_id, inviter_id FROM en WHERE event <> 'user_referred'")

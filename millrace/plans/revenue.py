@@ -95,6 +95,19 @@ def r10(b: Base):
     return r.price_corrections(changes)
 
 
+@query(
+    "R11_reattribution",
+    """SELECT project_id, event_date, platform, CAST(sum(revenue) AS BIGINT) AS revenue, CAST(sum(units) AS BIGINT) AS units_sold, CAST(sum(cancelled) AS BIGINT) AS cancellations FROM (
+         SELECT project_id, event_date, new AS platform, coalesce(delta, 0) AS revenue, CASE WHEN buy THEN 1 ELSE 0 END AS units, CASE WHEN cancellation THEN 1 ELSE 0 END AS cancelled FROM late WHERE new <> old
+         UNION ALL SELECT project_id, event_date, old, -coalesce(delta, 0), CASE WHEN buy THEN -1 ELSE 0 END, CASE WHEN cancellation THEN -1 ELSE 0 END FROM late WHERE new <> old) x
+       GROUP BY project_id, event_date, platform""",
+    """late AS (SELECT p.project_id, p.event_date, p.delta, p.buy, p.cancellation, CASE WHEN d.platform IN ('ios', 'android') THEN d.platform ELSE 'web' END AS new,
+       CASE p.store_source WHEN 'apple' THEN 'ios' WHEN 'google' THEN 'android' ELSE 'unknown' END AS old FROM pr p JOIN a_devices d ON d.device_id = p.device_id)""",
+)
+def r11(b: Base):
+    return r.reattributions(b.priced, b.t.devices)
+
+
 STATES = """states AS (
   SELECT project_id, original_transaction_id,
          arg_max(device_id, (date, event_id)) FILTER (WHERE device_id IS NOT NULL) AS device_id, arg_max(link_id, (date, event_id)) FILTER (WHERE link_id IS NOT NULL) AS link_id,

@@ -33,27 +33,49 @@ def numbered(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("event_date", F.to_date("created_at")).withColumn("event_id", F.xxhash64("event", "project_id", "device_id", "link_id", "created_at", "data"))
 
 
-def batch_writer(out: str, devices: DataFrame, visitors: DataFrame, links: DataFrame, now: str, gap_seconds: int = 5) -> Callable[[DataFrame, int], None]:
-    """What to do with each micro-batch."""
+def batch_writer(out: str, devices: DataFrame, visitors: DataFrame, links: DataFrame) -> Callable[[DataFrame, int], None]:
+    """What to do with each micro-batch of de-duplicated events: store them with those that follow from referrals, the deltas
+    of both rollups, and what the batch says of inviters, last visits and touched visitors. The operators are the batch's."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = numbered(ingest.parse(batch, F.lit(now).cast("timestamp")))
-        kept = ingest.dedup_views_by_gap(parsed, gap_seconds)
-        enriched = ingest.enrich(kept, devices, visitors, links).persist()
-        try:
-            enriched.write.mode("overwrite").parquet(f"{out}/events/batch={batch_id}")
-            rollups.by_visitor(enriched, visitors).write.mode("overwrite").parquet(f"{out}/vds/batch={batch_id}")
-            rollups.by_link(enriched, visitors).write.mode("overwrite").parquet(f"{out}/lds/batch={batch_id}")
-        finally:
-            enriched.unpersist()
+        spark = batch.sparkSession
+        put = lambda df, name: df.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        put(batch, "received")  # what follows starts from here, and a batch that runs again replaces it
+        kept = spark.read.schema(batch.schema).parquet(f"{out}/received/batch={batch_id}")
+        found = ingest.referrals(kept, links, visitors)
+        everything = kept.unionByName(ingest.referral_events(found), allowMissingColumns=True)
+        put(ingest.enrich(everything, devices, links), "events")
+        enriched = spark.read.parquet(f"{out}/events/batch={batch_id}")
+        put(rollups.by_visitor(enriched, visitors), "vds")
+        put(rollups.by_link(enriched, visitors), "lds")
+        put(found.groupBy("visitor_id").agg(F.max_by("referrer_id", F.struct(*ingest.ARRIVAL)).alias("referrer_id"), F.max(F.struct(*ingest.ARRIVAL)).alias("at")), "inviters")
+        put(ingest.last_visits(kept, visitors), "visits")
+        put(ingest.touched_visitors(everything, visitors), "touched")
 
     return write
 
 
-def start(stream: DataFrame, out: str, checkpoint: str, devices: DataFrame, visitors: DataFrame, links: DataFrame, now: str, gap_seconds: int = 5) -> StreamingQuery:
-    """Process what there is, then stop; run it again for what comes later."""
-    writer = batch_writer(out, devices, visitors, links, now, gap_seconds)
-    return stream.writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(stream: DataFrame, out: str, checkpoint: str, devices: DataFrame, visitors: DataFrame, links: DataFrame, now: str, gap_seconds: int = 5, delay: str = "10 minutes") -> StreamingQuery:
+    """Process what there is, then stop; run it again for what comes later. Views are de-duplicated over micro-batches too:
+    the state of :func:`dedup_views` is in the checkpoint."""
+    parsed = numbered(ingest.parse(stream, F.lit(now).cast("timestamp")))
+    writer = batch_writer(out, devices, visitors, links)
+    return dedup_views(parsed, gap_seconds, delay).writeStream.foreachBatch(writer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def inviters(spark: SparkSession, out: str) -> DataFrame:
+    """Each visitor's last referrer over all batches."""
+    return spark.read.parquet(f"{out}/inviters").groupBy("visitor_id").agg(F.max_by("referrer_id", "at").alias("referrer_id"))
+
+
+def visits(spark: SparkSession, out: str) -> DataFrame:
+    """The last link of every (project, visitor) over all batches."""
+    return spark.read.parquet(f"{out}/visits").groupBy("project_id", "visitor_id").agg(F.max_by("link_id", F.struct("updated_at", "batch")).alias("link_id"), F.max("updated_at").alias("updated_at"))
+
+
+def touched(spark: SparkSession, out: str) -> DataFrame:
+    """When each visitor last had an event that counts, over all batches."""
+    return spark.read.parquet(f"{out}/touched").groupBy("visitor_id").agg(F.max("updated_at").alias("updated_at"))
 
 
 def visitor_days(spark: SparkSession, out: str) -> DataFrame:

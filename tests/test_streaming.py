@@ -22,24 +22,50 @@ def write_messages(spark, path, events):
 
 def test_stream_equals_batch(spark, tmp_path):
     t = tables(spark, FOLDER)
-    events = t.events.orderBy("event_id").collect()
+    events = t.events.orderBy("created_at", "event_id").collect()
     write_messages(spark, tmp_path / "in", [events[:400], events[400:]])
     out, check = str(tmp_path / "out"), str(tmp_path / "check")
     messages = stream.messages(spark, str(tmp_path / "in"), files_per_batch=1)
-    stream.start(messages, out, check, t.devices, t.visitors, t.links, "2024-02-01").awaitTermination(120)
-    batch = rollups.by_visitor(ingest.enrich(t.events, t.devices, t.visitors, t.links), t.visitors)
-    want = sorted(batch.select(*KEYS, *METRICS).collect())
+    stream.start(messages, out, check, t.devices, t.visitors, t.links, "2024-02-01", delay="60 days").awaitTermination(300)
+    found = ingest.referrals(ingest.dedup_views_fixed(t.events), t.links, t.visitors)
+    everything = ingest.dedup_views_fixed(t.events).unionByName(ingest.referral_events(found))
+    enriched = ingest.enrich(everything, t.devices, t.links)
+    want = sorted(rollups.by_visitor(enriched, t.visitors).select(*KEYS, *METRICS).collect())
+    assert sum(r.user_referred for r in want) > 0
     assert sorted(stream.visitor_days(spark, out).select(*KEYS, *METRICS).collect()) == want
-    links = rollups.by_link(ingest.enrich(t.events, t.devices, t.visitors, t.links), t.visitors)
+    links = rollups.by_link(enriched, t.visitors)
     assert stream.link_days(spark, out).agg(F.sum("views")).first() == links.agg(F.sum("views")).first()
+    last = {(r.project_id, r.visitor_id): r.updated_at for r in ingest.last_visits(t.events, t.visitors).collect()}
+    assert {(r.project_id, r.visitor_id): r.updated_at.replace(tzinfo=None) for r in stream.visits(spark, out).collect()} == last
+    touched = {r.visitor_id: r.updated_at for r in ingest.touched_visitors(everything, t.visitors).collect()}
+    assert {r.visitor_id: r.updated_at.replace(tzinfo=None) for r in stream.touched(spark, out).collect()} == touched
+    assert {r.visitor_id for r in stream.inviters(spark, out).collect()} == {r.visitor_id for r in found.collect()}
 
-    writer = stream.batch_writer(out, t.devices, t.visitors, t.links, "2024-02-01")
-    writer(spark.read.text(str(tmp_path / "in" / "part-0.json")), 0)  # the first batch again
+    stored = spark.read.parquet(f"{out}/received/batch=0")
+    first = spark.createDataFrame(stored.collect(), stored.schema)
+    stream.batch_writer(out, t.devices, t.visitors, t.links)(first, 0)  # the first batch again
     assert sorted(stream.visitor_days(spark, out).select(*KEYS, *METRICS).collect()) == want
     stream.compact(spark, out, str(tmp_path / "vds"))
     assert spark.read.parquet(str(tmp_path / "vds")).count() == len(want)
 
 
+def test_a_view_across_batches_and_an_install_through_a_link(spark, tmp_path):
+    """Two views one second apart in neighbouring batches count once; a referrer is credited in the batch of the install."""
+    devices = spark.createDataFrame([(1, "ios", "1.0"), (2, "web", "1.0")], "device_id long, platform string, app_version string")
+    visitors = spark.createDataFrame([(10, 1, 7, None, "a"), (20, 2, 7, None, "b")], "visitor_id long, device_id long, project_id long, inviter_id long, sdk_identifier string")
+    links = spark.createDataFrame([(5, 7, 20, "p")], "link_id long, project_id long, visitor_id long, path string")
+    (tmp_path / "in").mkdir()
+    say = lambda kind, second, link=None: json.dumps({"type": kind, "project_id": 7, "device_id": 1, "link_id": link, "data": f"{kind}{second}", "created_at": f"2024-01-01T00:00:{second:02d}"})
+    (tmp_path / "in" / "0.json").write_text(say("view", 10) + "\n")
+    (tmp_path / "in" / "1.json").write_text(say("view", 11) + "\n" + say("install", 12, 5) + "\n" + say("view", 30) + "\n")
+    out = str(tmp_path / "out")
+    stream.start(stream.messages(spark, str(tmp_path / "in"), files_per_batch=1), out, str(tmp_path / "check"), devices, visitors, links, "2024-02-01").awaitTermination(300)
+    got = {r.visitor_id: r for r in stream.visitor_days(spark, out).collect()}
+    assert (got[10].views, got[10].installs, got[20].user_referred) == (2, 1, 1)
+    assert [(r.visitor_id, r.referrer_id) for r in stream.inviters(spark, out).collect()] == [(10, 20)]
+    assert [(r.visitor_id, r.link_id) for r in stream.visits(spark, out).collect()] == [(10, 5)]
+
+
 def test_daily_counts(spark, tmp_path):
     t = tables(spark, FOLDER)
     t.events.select(F.col("created_at").cast("timestamp").alias("created_at"), "project_id", "event").write.parquet(str(tmp_path / "events"))
