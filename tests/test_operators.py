@@ -216,9 +216,35 @@ def test_subscription_states_and_attribution(spark):
 
 
 def test_webhooks(spark):
-    stored = spark.createDataFrame([(1, 1, "buy", "t1", None), (2, 1, "buy", "t2", True)], "event_id long, project_id long, event_type string, transaction_id string, webhook_validated boolean")
-    incoming = spark.createDataFrame([(1, 1, "buy", "t1", "o"), (2, 1, "buy", "t2", "t2"), (3, 1, "buy", "t3", "t1"), (4, 1, "cancel", "t1", "t1")], "notice_id long, project_id long, event_type string, transaction_id string, original_transaction_id string")
-    assert {r.notice_id: r.action for r in revenue.match_webhooks(incoming, stored).collect()} == {1: "validate", 2: "none", 3: "create", 4: "create"}
+    """By transaction, else, for a first purchase, by stored original transaction; a null flag is neither validated nor not."""
+    stored = spark.createDataFrame(
+        [(1, 1, "buy", "t1", "t1", False), (2, 1, "buy", "t2", "t2", True), (5, 1, "buy", "T9", "O1", False), (6, 1, "buy", "t6", "t6", None), (7, 1, "buy", "t7", "O7", True), (8, 2, "buy", "t1", "t1", True)],
+        "event_id long, project_id long, event_type string, transaction_id string, original_transaction_id string, webhook_validated boolean",
+    )
+    incoming = spark.createDataFrame(
+        [(1, 1, "buy", "t1", "o"), (2, 1, "buy", "t2", "t2"), (3, 1, "buy", "t3", "t1"), (4, 1, "cancel", "t1", "t1"), (5, 1, "buy", "O1", "O1"), (6, 1, "buy", "t6", "t6"), (7, 1, "buy", "O7", None), (8, 1, "buy", None, None)],
+        "notice_id long, project_id long, event_type string, transaction_id string, original_transaction_id string",
+    )
+    got = {r.notice_id: (r.action, r.event_id) for r in revenue.match_webhooks(incoming, stored).collect()}
+    assert got == {1: ("validate", 1), 2: ("none", 2), 3: ("create", None), 4: ("create", None), 5: ("validate", 5), 6: ("create", None), 7: ("none", 7), 8: ("create", None)}
+    strict = {r.notice_id: r.action for r in revenue.match_webhooks(incoming, stored, validated_by_original=False).collect()}
+    assert strict[7] == "create" and strict[5] == "validate" and strict[2] == "none"
+
+
+def test_product_changes(spark):
+    """The last buy of another product is cancelled only if that product is still bought; older products are not looked at."""
+    rows = [(1, "c", "buy"), (2, "b", "buy"), (3, "b", "cancel"), (4, "a", "buy")]
+    stored = spark.createDataFrame([(i, f"2024-01-0{i}", 1, "s", p, e, f"t{i}") for i, p, e in rows], "event_id long, date string, project_id long, original_transaction_id string, product_id string, event_type string, transaction_id string")
+    to = lambda p: spark.createDataFrame([(9, 1, "s", p)], "change_id long, project_id long, original_transaction_id string, product_id string")
+    assert revenue.product_change_cancels(stored, to("a")).collect() == []
+    assert [(r.canceled_product, r.canceled_event, r.transaction_id) for r in revenue.product_change_cancels(stored, to("d")).collect()] == [("a", 4, "t4_product_change_cancel")]
+    again = stored.union(spark.createDataFrame([(7, "2024-01-07", 1, None, "a", "cancel", "t4_product_change_cancel")], stored.schema))
+    assert revenue.product_change_cancels(again, to("d")).collect() == []
+
+
+def test_actions_count_from_the_last_one_made(spark):
+    at = spark.createDataFrame([(k, 1, 1, f"2024-01-01 00:{m:02d}:00") for k, m in enumerate((0, 4, 8, 9, 13, 14, 40))], "action_id long, device_id long, link_id long, at string").withColumn("at", F.to_timestamp("at"))
+    assert sorted(r.action_id for r in attribution.new_actions(at).collect()) == [0, 2, 5, 6]
 
 
 def test_scalar_units(spark):
@@ -271,9 +297,20 @@ def test_notifications(spark):
 
 
 def test_logs(spark):
-    lines = ['{"level":"warning"}', "GET /x status=503", "Foo::BarError: boom", "fatal: x", None]
-    rows = attribution.classify_logs(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
-    assert [(r.severity, r.severity_number, r.error_class) for r in rows] == [("WARN", 13, None), ("ERROR", 17, None), ("INFO", 9, "Foo::BarError"), ("FATAL", 21, None), ("INFO", 9, None)]
+    want = {
+        '{"level":"warning"}': ("WARN", 13, None),
+        '{"level":"ERR"}': ("ERROR", 17, None),
+        '{"level":"critical"}': ("FATAL", 21, None),
+        '{"level":"trace"}': ("TRACE", 1, None),
+        '{"level":"notice"}': ("INFO", 9, None),
+        "GET /x status=503": ("INFO", 9, None),
+        "E, [2024-01-01T00:00:00 #1] ERROR -- : Foo::BarError: boom": ("ERROR", 17, "BarError"),
+        'I, [2024-01-01T00:00:00 #1]  INFO -- : {"status":503}': ("ERROR", 17, None),
+        "fatal: x": ("INFO", 9, None),
+        None: ("INFO", 9, None),
+    }
+    rows = attribution.classify_logs(spark.createDataFrame([(x,) for x in want], "line string")).collect()
+    assert {r.line: (r.severity, r.severity_number, r.error_class) for r in rows} == want
 
 
 def test_pages(spark):
