@@ -118,7 +118,7 @@ class Suffixes:
             of = of[np.repeat(counts >= self.window, counts)]
             counts = np.where(counts < self.window, 0, counts)
         self.waiting += int(np.maximum(counts - self.window + 1, 0).sum())
-        numbers = np.fromiter((0 if k == empty else self.numbers[w] for k, w in enumerate(names)), np.int32, len(names))
+        numbers = np.fromiter(map(self.numbers.__getitem__, names), np.int32, len(names))
         self.parts.append(numbers[of])
         self.counts.append(np.array(counts, np.int64))
         self.keys.append(np.array([0 if k is None else k for k in keys], np.int64))

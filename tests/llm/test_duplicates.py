@@ -21,7 +21,7 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def near(rows):
+def near(rows, percent=85):
     """doc_id -> (set sizes, component) by comparing all pairs."""
     sets = [(i, shingle_set(t)) for i, t in rows]
     parent = {i: i for i, _ in rows if i is not None}
@@ -33,7 +33,7 @@ def near(rows):
 
     for a, (i, x) in enumerate(sets):
         for j, y in sets[:a]:
-            if i is not None and j is not None and x and 100 * len(x & y) >= 85 * len(x | y):
+            if i is not None and j is not None and x and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(i), find(j)
                 parent[max(p, q)] = min(p, q)
     return {(i, len(x), None if i is None else find(i)) for i, x in sets}

@@ -26,7 +26,7 @@ def test_stages(spark):
     good = rows["quality rules"]
     assert {r.doc_id for r in good} == kept and len(good) == len(kept)
     unique = rows["minhash near-dedup"]
-    want = {i for i, _, c in near([(r.doc_id, r.text) for r in good]) if i == c}
+    want = {i for i, _, c in near([(r.doc_id, r.text) for r in good], percent=80) if i == c}
     assert {r.doc_id for r in unique} == want and len(unique) == len(want)
     cut = {r.doc_id: r for r in rows["substring dedup"]}
     before = {r.doc_id: r for r in unique}
