@@ -62,31 +62,13 @@ COMMON, OFTEN = 1 << 16, 4
 DIRECT = 4096
 
 
-class Numbers(dict):
-    """Words by number, in the order in which they come; a long one counts as its digest."""
-
-    def __init__(self, common: list[bytes]):
-        super().__init__(zip(common, range(len(common)), strict=True))
-        self.names = list(common)
-
-    def __missing__(self, word: bytes) -> int:
-        own = word if len(word) <= LONG else shortened(word)
-        if own is not word and own in self:
-            number = self[own]
-        else:
-            number = self[own] = len(self.names)
-            self.names.append(own)
-        self[word] = number
-        return number
-
-
 class Suffixes:
     """Documents of some batches: words by number, and the places at which a passage starts."""
 
     def __init__(self, window: int, common: list[bytes]):
         self.window, self.reach = window, max(1, window - max(PREFIXES) + 1)
-        self.numbers = Numbers(common)
-        self.parts: list[np.ndarray] = []
+        self.common, self.names = pa.array(common, pa.large_binary()), common
+        self.parts: list[pa.Array] = []
         self.counts: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
         self.tags: list[np.ndarray] = []
@@ -105,29 +87,41 @@ class Suffixes:
         given = pa.array([None if k in repeated else t for k, t in enumerate(texts)], pa.large_string())
         # The six ASCII blanks are what cuts words; at the ends of a text they leave an empty one.
         split = pc.ascii_split_whitespace(pc.fill_null(given, ""))
-        coded = split.values.dictionary_encode()
-        names = coded.dictionary.cast(pa.large_binary()).to_pylist()
-        of, ends = coded.indices.to_numpy(), split.offsets.to_numpy()
-        counts = np.diff(ends)
-        empty = names.index(b"") if b"" in names else -1
-        if empty >= 0:
-            real = of != empty
-            counts = np.diff(np.r_[0, np.cumsum(real)][ends])
-            of = of[real]
-        if (counts < self.window).any():
-            of = of[np.repeat(counts >= self.window, counts)]
-            counts = np.where(counts < self.window, 0, counts)
+        ends, values = split.offsets.to_numpy(), split.values.cast(pa.large_binary())
+        real = pc.greater(pc.binary_length(values), 0)
+        counts = np.diff(np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))][ends])
+        enough = np.repeat(counts >= self.window, np.diff(ends))
+        values = values.filter(pc.and_(real, pa.array(enough)))
+        counts = np.where(counts < self.window, 0, counts)
         self.waiting += int(np.maximum(counts - self.window + 1, 0).sum())
-        numbers = np.fromiter(map(self.numbers.__getitem__, names), np.int32, len(names))
-        self.parts.append(numbers[of])
+        self.parts.append(values)
         self.counts.append(np.array(counts, np.int64))
         self.keys.append(np.array([0 if k is None else k for k in keys], np.int64))
         self.tags.append(np.array(tags, np.uint64))
 
+    def _number(self) -> None:
+        """Number the words: common ones as they are numbered everywhere, the others in the order in which they come."""
+        coded = pa.chunked_array(self.parts, pa.large_binary()).dictionary_encode().combine_chunks()
+        if isinstance(coded, pa.ChunkedArray):
+            coded = coded.chunk(0)
+        self.parts = []
+        words = coded.dictionary
+        long = np.flatnonzero(pc.binary_length(words).to_numpy() > LONG)
+        if len(long):  # different words have different digests
+            own = words.to_pylist()
+            for k in long.tolist():
+                own[k] = shortened(own[k])
+            words = pa.array(own, pa.large_binary())
+        numbers = pc.index_in(words, self.common).fill_null(-1).to_numpy().astype(np.int32)
+        rare = np.flatnonzero(numbers < 0)
+        numbers[rare] = len(self.names) + np.arange(len(rare), dtype=np.int32)
+        self.names = self.names + words.take(pa.array(rare)).to_pylist()
+        self.words = numbers[coded.indices.to_numpy()]
+
     def close(self, paths: bool = True) -> None:
         """Lay out what was added: for every passage its document, start, anchor and, if asked for, hash."""
         w = self.window
-        self.words = np.concatenate([*self.parts, np.empty(0, np.int32)])
+        self._number()
         counts = np.concatenate([*self.counts, np.empty(0, np.int64)])
         self.key = np.concatenate([*self.keys, np.empty(0, np.int64)])
         self.tag = np.concatenate([*self.tags, np.empty(0, np.uint64)])
@@ -136,7 +130,7 @@ class Suffixes:
         n = max(0, len(self.words) - w + 1)
         self.start = np.flatnonzero(owner[:n] == owner[len(owner) - n :]) if n else np.empty(0, np.int64)
         self.document = owner[self.start]
-        own = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, self.numbers.names)), ">u8").astype(np.uint64)
+        own = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, self.names)), ">u8").astype(np.uint64)
         self.hashes = own[self.words] if len(self.words) else np.empty(0, np.uint64)
         self.path = window_hashes(self.hashes, w)[self.start] if n and paths else np.empty(0, np.uint64)
         best = window_hashes(self.hashes, min(w, max(PREFIXES)))
@@ -157,7 +151,7 @@ class Suffixes:
 
     def first_of_equal(self) -> tuple[np.ndarray, np.ndarray]:
         """Which passages have the least key of their equals here; and which have an equal with a smaller one."""
-        order = np.argsort(self.path, kind="stable")
+        order = np.argsort(self.path)
         path, key = self.path[order], self.key[self.document[order]]
         cuts = _cuts(path)
         sizes = np.diff(cuts)
@@ -200,7 +194,7 @@ def prefix_counts(df: DataFrame, bits: int, window: int) -> DataFrame:
                 [
                     pa.array(np.r_[level, np.full(len(some), -1, np.int32)]),
                     pa.array(np.concatenate([*[x for x, _ in parts], np.zeros(len(some), np.int64)]).astype(np.int64)),
-                    pa.array([*[None] * len(level), *[found.numbers.names[x] for x in some.tolist()]], pa.binary()),
+                    pa.array([*[None] * len(level), *[found.names[x] for x in some.tolist()]], pa.binary()),
                     pa.array(np.concatenate([*[n for _, n in parts], often[some]]).astype(np.int64)),
                 ],
                 ["level", "bin", "word", "n"],
@@ -286,7 +280,7 @@ def _sent(found: Suffixes, hot: list[np.ndarray], bits: int, direct: int, common
     numbers = found.words[np.arange(ends[-1] if len(ends) else 0) + np.repeat(found.start[at] - (ends - sizes), sizes)]
     document = found.document[at]
     key, tags, own = found.key[document], found.tag[document], (found.start[at] - found.begin[document]).astype(np.uint32)
-    words = np.array([*found.numbers.names, None], object)
+    words = np.array([*found.names, None], object)
     own_number = np.zeros(len(words), np.int32)
     cuts = _cuts(group).tolist()
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
