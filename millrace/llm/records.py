@@ -20,6 +20,7 @@ names.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -46,6 +47,14 @@ _HEAD, _PAYLOAD, _INDEX = "<QI", "<BqI", "<4sIQ"
 #: A space beside white space, as Python's \\s has it (fixed values).
 _WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD = f" [{_WS}]|[{_WS}] "
+#: Chunks that are encoded on their own: the empty ones and those with white space behind their first character, or other than a space there.
+_ALONE = f"(?s)^ ?$|.[{_WS}]|^[{_WS.replace('-\\x20', '-\\x1f')}]"
+#: Other chunks that are encoded as one text.
+JOINED = 200
+#: A line end beside white space.
+_LINES = f"\\n[{_WS}]|[{_WS}]\\n"
+#: What ends in a letter of the Latin blocks, and ASCII punctuation behind it up to the end: two matches of the pattern at least.
+_TAIL = r"(?s)^(?P<core>.*[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])(?P<tail>[!-/:-@\[-`{-~]+)$"
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -65,6 +74,11 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = {2: "H", 4: "I"}[self.width]  # little-endian machines
         self.seen: dict[str, bytes] = {}
+        ids = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = ids[0] if len(ids) == 1 else None
+        rule = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        #: The byte-level pattern matches a line end between other characters on its own.
+        self.cuts_lines = rule.get("type") == "ByteLevel" and rule.get("use_regex", False)
 
     @staticmethod
     def load(tokenizer_file: str) -> Encoder:
@@ -78,13 +92,51 @@ class Encoder:
             self.seen.clear()
         found = list(map(self.seen.get, chunks_))
         late = [k for k, ids in enumerate(found) if ids is None]
-        for start in range(0, len(late), 20_000):
-            some = late[start : start + 20_000]
-            for k, encoded in zip(some, self.tokenizer.encode_batch_fast([chunks_[k] for k in some], add_special_tokens=False), strict=True):
-                found[k] = array(self.kind, encoded.ids).tobytes()
+        for k, ids in zip(late, self._library([chunks_[k] for k in late]), strict=True):
+            found[k] = ids
         self.seen.update((chunks_[k], found[k]) for k in late if len(chunks_[k]) <= 64)
         return found
 
+    def _library(self, chunks_: list[str]) -> list[bytes]:
+        """The ids of some chunks from the library. A line end between chunks without inner white space is a match of the
+        pattern of its own, so many go as one text, whose ids are cut at the line ends."""
+        out: list[bytes] = [b""] * len(chunks_)
+        alone = pc.match_substring_regex(pa.array(chunks_, pa.large_string()), _ALONE).to_numpy(zero_copy_only=False)
+        single = np.flatnonzero(alone | (self.line is None)).tolist()
+        joined = np.flatnonzero(~alone & (self.line is not None)).tolist()
+        for start in range(0, len(single), 20_000):
+            some = single[start : start + 20_000]
+            for k, encoded in zip(some, self.tokenizer.encode_batch_fast([chunks_[k] for k in some], add_special_tokens=False), strict=True):
+                out[k] = array(self.kind, encoded.ids).tobytes()
+        for start in range(0, len(joined), JOINED):
+            some = joined[start : start + JOINED]
+            ids = array(self.kind, self.tokenizer.encode_batch_fast(["\n".join([chunks_[k] for k in some])], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(np.frombuffer(ids, f"<u{self.width}") == self.line) * self.width
+            if len(ends) != len(some) - 1:  # a line end is part of a token of another pattern
+                for k in some:
+                    out[k] = array(self.kind, self.tokenizer.encode(chunks_[k], add_special_tokens=False).ids).tobytes()
+                continue
+            blob, last = ids.tobytes(), 0
+            for k, end in zip(some, [*ends.tolist(), len(blob)], strict=True):
+                out[k] = blob[last:end]
+                last = end + self.width
+        return out
+
+    def _parts(self, parts: pa.Array) -> list[bytes]:
+        """The ids of some chunks, with punctuation at their ends apart from what is before it."""
+        split = pc.extract_regex(parts, _TAIL)
+        core, tail = (pc.struct_field(split, k).dictionary_encode() for k in (0, 1))
+        ends = split.is_valid().to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(parts)
+        whole = np.flatnonzero(~ends)
+        for k, ids in zip(whole.tolist(), self._chunks(parts.take(pa.array(whole)).to_pylist()), strict=True):
+            out[k] = ids
+        cores, tails = (self._chunks(x.dictionary.to_pylist()) for x in (core, tail))
+        both = np.flatnonzero(ends)
+        for k, a, b in zip(both.tolist(), *(x.indices.take(pa.array(both)).to_pylist() for x in (core, tail)), strict=True):
+            out[k] = cores[a] + tails[b]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``width`` bytes. Each word of a batch is looked up once."""
         given = pa.array(texts, pa.large_string())
@@ -95,15 +147,19 @@ class Encoder:
         plain = np.flatnonzero(~odd)
         if not len(plain):
             return out
-        # Without odd spaces a text is cut at every space, as chunks() does; all parts but the first keep theirs.
-        parts = pc.split_pattern(given.take(pa.array(plain)), " ")
+        # Without odd spaces a text is cut at every space, as chunks() does; all parts but the first keep theirs. So it is at
+        # line ends.
+        given = given.take(pa.array(plain))
+        if self.cuts_lines:
+            given = pc.if_else(pc.match_substring_regex(given, _LINES), given, pc.replace_substring(given, "\n", " \n"))
+        parts = pc.split_pattern(given, " ")
         ends = parts.offsets.to_numpy()
         coded = parts.values.dictionary_encode()
         of = coded.indices.to_numpy().astype(np.int32)
-        names = coded.dictionary.to_pylist()
-        of_first = of[ends[:-1]]
+        names = coded.dictionary
+        first = names.take(pa.array(of[ends[:-1]]))
         of[ends[:-1]] = len(names) + np.arange(len(plain))
-        ids = self._chunks([" " + x for x in names]) + self._chunks([names[x] for x in of_first.tolist()])
+        ids = self._parts(pc.if_else(pc.starts_with(names, "\n"), names, pc.binary_join_element_wise(pa.scalar("", names.type), names, pa.scalar(" ", names.type)))) + self._parts(first)
         flat = np.frombuffer(b"".join(ids), f"<u{self.width}")
         sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // self.width
         starts = np.cumsum(sizes, dtype=np.int32) - sizes

@@ -319,3 +319,14 @@ def test_queries_against_the_libraries(spark, library, name):
             ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
             assert tuple(r) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
             at += len(ids)
+
+
+def test_encoder_against_the_library_on_odd_texts():
+    rng = random.Random(5)
+    signs = [*"ab'stéß×\n\n  \t\r\x0b  .,!&<>|12٣中ʼ́_", "<|endoftext|>", "don't", "it's", "\r\n", "\n\n", "'ll"]
+    texts = ["", "\n", " ", "\nfoo", "foo\n", "a\nb", " \n", "a.\nb,\n\nc", *("".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(5000))]
+    encoder = records.Encoder(queries.ENGLISH)
+    for start in range(0, len(texts), 500):
+        some = texts[start : start + 500]
+        expected = [np.array(x.ids, "<u2").tobytes() for x in encoder.tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert encoder.encode(some) == expected
