@@ -150,7 +150,9 @@ def top_links(lds: DataFrame, links: DataFrame, project: int, start: str, end: s
 
 
 def _with_sums(left: DataFrame, lds: DataFrame, keys: list[str], start: str, end: str, platforms) -> DataFrame:
-    stats = lds.filter(days(start, end) & on_platforms(platforms)).groupBy("link_id").agg(*[F.sum(m).alias(m) for m in METRICS])
+    """Sums of the links in ``left`` alone: the semi join goes below the rollup's aggregation."""
+    own = lds.filter(days(start, end) & on_platforms(platforms)).join(left.select("link_id"), "link_id", "left_semi")
+    stats = own.groupBy("link_id").agg(*[F.sum(m).alias(m) for m in METRICS])
     return left.join(stats, "link_id", "left").groupBy(*keys).agg(*[F.coalesce(F.sum(m), F.lit(0)).cast("long").alias(m) for m in METRICS])
 
 
@@ -194,16 +196,18 @@ def event_metrics_by_link(events: DataFrame, start: str, end: str) -> DataFrame:
 
 def links_by_event(links: DataFrame, events: DataFrame, project: int, event: str, start: str, end: str, ascending: bool = False) -> DataFrame:
     """Links by the count of one event type, with their metrics (null without events)."""
-    counts = events.filter((F.col("event") == event) & moments(start, end)).groupBy("link_id").agg(F.count("*").alias("_n"))
     own = links.filter(F.col("project_id") == project).select("link_id", "name")
+    events = events.join(own.select("link_id"), "link_id", "left_semi")
+    counts = events.filter((F.col("event") == event) & moments(start, end)).groupBy("link_id").agg(F.count("*").alias("_n"))
     joined = own.join(counts, "link_id", "left").withColumn("sort_count", F.coalesce("_n", F.lit(0))).drop("_n").join(event_metrics_by_link(events, start, end), "link_id", "left")
     return joined.orderBy(F.col("sort_count").asc() if ascending else F.col("sort_count").desc(), "link_id")
 
 
 def campaigns_by_event(campaigns: DataFrame, links: DataFrame, events: DataFrame, project: int, event: str, start: str, end: str) -> DataFrame:
     """Campaigns by the count of one event type over links that no SDK made; metrics, means too, are summed over links."""
-    own = links.filter(~F.col("sdk_generated") & F.col("campaign_id").isNotNull()).select("link_id", "campaign_id")
-    metrics = own.join(event_metrics_by_link(events, start, end), "link_id")
+    theirs = campaigns.filter(F.col("project_id") == project).select("campaign_id")
+    own = links.filter(~F.col("sdk_generated") & F.col("campaign_id").isNotNull()).select("link_id", "campaign_id").join(theirs, "campaign_id", "left_semi")
+    metrics = own.join(event_metrics_by_link(events.join(own.select("link_id"), "link_id", "left_semi"), start, end), "link_id")
     sums = metrics.groupBy("campaign_id").agg(*[F.sum(c).alias(c) for c in EVENTS[:7]], F.round(F.sum("avg_engagement_time"), 2).alias("avg_engagement_time"))
     joined = campaigns.filter(F.col("project_id") == project).select("campaign_id", "name").join(sums, "campaign_id", "left")
     return joined.orderBy(F.coalesce(event, F.lit(0)).desc(), "campaign_id")
@@ -268,11 +272,13 @@ def campaign_search(campaigns: DataFrame, project: int, archived: bool | None =
 
 
 def link_export(links: DataFrame, lds: DataFrame, campaigns: DataFrame, project: int, start: str, end: str, active: bool = True, sdk: bool = False) -> DataFrame:
-    """A project's links as rows of a CSV file."""
+    """A project's links as rows of a CSV file; ``data``, a map, as "k=v" joined by commas in the order of its keys."""
     own = links.filter((F.col("project_id") == project) & (F.col("active") == active) & (F.col("sdk_generated") == sdk))
     named = own.join(campaigns.select(F.col("campaign_id").alias("_c"), F.col("name").alias("campaign")), F.col("campaign_id") == F.col("_c"), "left")
-    shown = named.withColumn("tag_list", F.array_join("tags", ", "))
-    return _with_sums(shown, lds, ["link_id", "name", "title", "path", "campaign", "ads_platform", "tag_list"], start, end, None).withColumn("avg_engagement_time", F.lit(0.0))
+    pairs = F.transform(F.array_sort(F.map_entries("data")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit(""))))
+    shown = named.withColumns({"tag_list": F.array_join("tags", ", "), "data_list": F.coalesce(F.array_join(pairs, ", "), F.lit(""))})
+    columns = ["link_id", "name", "title", "subtitle", "updated_at", "generated_from_platform", "sdk_generated", "active", "path", "campaign", "ads_platform", "tag_list", "data_list"]
+    return _with_sums(shown, lds, columns, start, end, None).withColumn("avg_engagement_time", F.lit(0.0))
 
 
 def campaigns_with_links(campaigns: DataFrame, links: DataFrame) -> DataFrame:
@@ -301,7 +307,9 @@ def visitor_statistics(visitors: DataFrame, vds: DataFrame, devices: DataFrame,
 
 def referral_statistics(visitors: DataFrame, vds: DataFrame, devices: DataFrame, project: int, start: str, end: str) -> DataFrame:
     """What the visitors that each one invited did in a range."""
-    sums = vds.filter(F.col("invited_by_id").isNotNull() & days(start, end)).groupBy("invited_by_id").agg(*[F.sum(m).alias(f"invited_{m}") for m in METRICS])
+    inviters = visitors.filter(F.col("project_id") == project).select(F.col("visitor_id").alias("invited_by_id"))
+    invited = vds.filter(F.col("invited_by_id").isNotNull() & days(start, end)).join(inviters, "invited_by_id", "left_semi")
+    sums = invited.groupBy("invited_by_id").agg(*[F.sum(m).alias(f"invited_{m}") for m in METRICS])
     people = visitors.filter(F.col("project_id") == project).join(devices.select("device_id", F.col("platform").alias("device_platform")), "device_id", "left")
     return people.join(sums, people.visitor_id == sums.invited_by_id).select("visitor_id", "device_platform", *[f"invited_{m}" for m in METRICS]).orderBy(F.desc("invited_views"), "visitor_id")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +44,13 @@ def links_for_urls(urls: DataFrame, links: DataFrame) -> DataFrame:
     return urls.join(best, "url_id", "left")
 
 
-def actions_in_window(opens: DataFrame, actions: DataFrame, minutes: int = ACTION_WINDOW_MINUTES) -> DataFrame:
+def actions_in_window(opens: DataFrame, actions: DataFrame, minutes: int = ACTION_WINDOW_MINUTES, by: tuple[str, ...] = ("device_id",)) -> DataFrame:
     """For each open (open_id, device_id, at) the device's latest action (action_id, device_id, link_id, at) within the
-    window. Both are dealt into windows of time as well as devices, so a busy device is no one task's."""
+    window; ``by`` device and link_id, that of the open's link. Both are dealt into windows of time as well as devices, so a busy device is no one task's."""
     width = minutes * 60 * 1_000_000
     o = opens.withColumn("_at", _micros("at")).withColumn("_slot", F.explode(F.array(F.floor(F.col("_at") / width), F.floor(F.col("_at") / width) - 1)))
     a = actions.select("action_id", "device_id", "link_id", _micros("at").alias("_when")).withColumn("_slot", F.floor(F.col("_when") / width))
-    hit = o.join(a, ["device_id", "_slot"]).filter((F.col("_when") <= F.col("_at")) & (F.col("_when") >= F.col("_at") - width))
+    hit = o.join(a, [*by, "_slot"]).filter((F.col("_when") <= F.col("_at")) & (F.col("_when") >= F.col("_at") - width))
     best = hit.groupBy("open_id").agg(F.max_by(F.struct("action_id", "link_id"), F.struct("_when", "action_id")).alias("_best"))
     return opens.join(best, "open_id", "left").withColumns({"action_id": F.col("_best.action_id"), "action_link_id": F.col("_best.link_id")}).drop("_best")
 
@@ -76,6 +78,33 @@ def deferred_opens(opens: DataFrame, actions: DataFrame) -> DataFrame:
     return first_per_action(actions_in_window(opens, actions).filter("action_id is not null"))
 
 
+def resolved_opens(requests: DataFrame, matches: DataFrame, actions: DataFrame, links: DataFrame, minutes: int = ACTION_WINDOW_MINUTES) -> DataFrame:
+    """The open events of link requests (open_id, project_id, device_id, link_id or null, at), where ``matches`` (open_id,
+    device_id) has the device that each one's fingerprint met and ``actions`` may have been ``handled`` already.
+
+    A request for a link of its project is an open of it, unless the matched device's latest action on that link was handled.
+    A request without a link is one of the matched device's latest action's link, if that is of the project, opens the app
+    (``opens_app``) and was not handled. A request handles all actions of the device up to its own for the requests after it."""
+    theirs = matches.filter("device_id is not null").select("open_id", F.col("device_id").alias("_matched"))
+    owners = links.select("link_id", F.col("project_id").alias("_owner"), "opens_app")
+    known = requests.join(theirs, "open_id", "left").withColumnsRenamed({"device_id": "_device", "_matched": "device_id"})
+    asked = known.filter("link_id is not null").join(owners.drop("opens_app"), "link_id").filter("_owner = project_id").drop("_owner")
+    asked = actions_in_window(asked, actions, minutes, ("device_id", "link_id")).drop("action_link_id")
+    asked = asked.withColumns({"_link": F.col("link_id"), "_opens": F.lit(True)})
+    free = actions_in_window(known.filter("link_id is null").drop("link_id"), actions, minutes).filter("action_id is not null")
+    free = free.join(owners.withColumnRenamed("link_id", "action_link_id"), "action_link_id", "left")
+    free = free.withColumns({"_link": F.col("action_link_id"), "_opens": F.coalesce((F.col("_owner") == F.col("project_id")) & F.col("opens_app"), F.lit(False))})
+    columns = ["open_id", "project_id", "_device", "device_id", "at", "action_id", "_link", "_opens"]
+    found = asked.select(*columns).unionByName(free.select(*columns)).join(actions.select("action_id", F.col("at").alias("_when"), "handled"), "action_id", "left")
+    # Requests without an action handle nothing and are not in the window.
+    before = Window.partitionBy("device_id").orderBy("at", "open_id").rowsBetween(Window.unboundedPreceding, -1)
+    with_action = found.filter("action_id is not null").withColumn("_last", F.max("_when").over(before))
+    done = F.col("handled") | F.coalesce(F.col("_last") >= F.col("_when"), F.lit(False))
+    made = with_action.filter(F.col("_opens") & ~done).select("open_id", "project_id", "_device", "_link", "at")
+    made = made.unionByName(found.filter("action_id is null").select("open_id", "project_id", "_device", "_link", "at"))
+    return made.select("open_id", "project_id", F.col("_device").alias("device_id"), F.col("_link").alias("link_id"), F.lit("open").alias("event"), "at")
+
+
 TIE_BREAK = ["screen_width", "screen_height", "timezone", "webgl_vendor", "webgl_renderer", "language"]
 
 
@@ -101,11 +130,16 @@ def fingerprint_matches(requests: DataFrame, seen: DataFrame, minutes: int = 5)
     return requests.select("request_id").join(counted.select("request_id", device.alias("device_id")), "request_id", "left")
 
 
+#: The image of links that have none, nor their domain; a deployment sets its own.
+PREVIEW_IMAGE = "preview.png"
+
+
 def display(links: DataFrame) -> DataFrame:
-    """Title and subtitle of a link, else of its domain, else the defaults; blank is missing."""
+    """Title, subtitle and image of a link, else of its domain, else the defaults; blank is missing, but for a link's own image."""
     return links.withColumns({
         "shown_title": F.coalesce(or_default(F.col("title"), F.col("domain_title")), F.lit("Open the app")),
         "shown_subtitle": F.coalesce(or_default(F.col("subtitle"), F.col("domain_subtitle")), F.lit("")),
+        "shown_image": F.coalesce(F.col("image"), or_default(F.col("domain_image")), F.lit(PREVIEW_IMAGE)),
     })
 
 
@@ -118,12 +152,18 @@ def new_paths(names: DataFrame, taken: DataFrame, test: bool = False) -> DataFra
     return first.join(taken.select("domain", "path"), ["domain", "path"], "left_anti")
 
 
-def import_links(rows: DataFrame, existing: DataFrame, prefixes: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(line, path, name) of a CSV to the links to make and the lines left out with a reason. Prefixes are taken off."""
-    path = F.trim("path")
+def import_links(rows: DataFrame, existing: DataFrame, prefixes: list[str], deeplink_prefix: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(line, path, name, utm_campaign, utm_medium, utm_source, link) of a CSV to the links to make and the lines left out
+    with a reason. Prefixes are taken off a path wherever they stand; the deep link's prefix gives way to the scheme
+    made of it (``https://app.example/`` to ``app.example://``). Null cells are empty."""
+    cells = {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("path", "name", "utm_campaign", "utm_medium", "utm_source", "link")}
     for prefix in prefixes:
-        path = F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 20)).otherwise(path)
-    cleaned = rows.withColumn("path", path)
+        cells["path"] = F.replace(cells["path"], F.lit(prefix), F.lit(""))
+    cells["path"] = F.trim(cells["path"])
+    if deeplink_prefix:
+        scheme = re.sub(r"/\Z", "", re.sub(r"\Ahttps?://", "", deeplink_prefix)) + "://"
+        cells["link"] = F.replace(cells["link"], F.lit(deeplink_prefix), F.lit(scheme))
+    cleaned = rows.withColumns(cells)
     blank = cleaned.filter(F.coalesce(F.col("path"), F.lit("")) == "").select("line", F.lit("blank path").alias("reason"))
     named = cleaned.filter(F.coalesce(F.col("path"), F.lit("")) != "")
     ranked = named.withColumn("_k", F.row_number().over(Window.partitionBy("path").orderBy("line"))).join(existing.select("path", F.lit(True).alias("_old")), "path", "left")

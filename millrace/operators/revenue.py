@@ -165,6 +165,37 @@ def google_event(code):
     return out
 
 
+#: The same of the other store, by type, or by type and subtype; a subtype of its own comes before its type (fixed values).
+APPLE_EVENTS = {
+    "SUBSCRIBED": "buy",
+    "DID_RENEW": "buy",
+    "ONE_TIME_CHARGE": "buy",
+    "OFFER_REDEEMED": "buy",
+    "EXPIRED": "cancel",
+    "GRACE_PERIOD_EXPIRED": "cancel",
+    "REVOKE": "cancel",
+    "DID_FAIL_TO_RENEW": "cancel",
+    "REFUND": "refund",
+    "REFUND_REVERSED": "refund_reversed",
+}
+APPLE_SUBTYPES = {
+    ("DID_CHANGE_RENEWAL_PREF", "UPGRADE"): "change",
+    ("OFFER_REDEEMED", "UPGRADE"): "change",
+    ("OFFER_REDEEMED", "DOWNGRADE"): None,
+    ("DID_FAIL_TO_RENEW", "GRACE_PERIOD"): None,
+    ("DID_FAIL_TO_RENEW", "BILLING_RETRY"): None,
+}
+
+
+def apple_event(kind, subtype):
+    """The event type of a store's named notice: null for those that are no purchase's, ``change`` for an upgrade, which
+    cancels the product before and buys the new one (``product_change_cancels``)."""
+    by_type = F.create_map(*[F.lit(x) for pair in APPLE_EVENTS.items() for x in pair])
+    by_subtype = F.create_map(*[x for (a, b), name in APPLE_SUBTYPES.items() for x in (F.lit(f"{a}/{b}"), F.lit(name).cast("string"))])
+    both = F.concat_ws("/", kind, subtype)
+    return F.when(F.map_contains_key(by_subtype, both), by_subtype[both]).otherwise(by_type[kind])
+
+
 def reattributions(priced: DataFrame, devices: DataFrame) -> DataFrame:
     """What late devices move: purchases counted under their store's platform (or ``unknown``) before the device was known go
     from there to the device's platform. Deltas by project, date and platform, to be added to a day's metrics."""

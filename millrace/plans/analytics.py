@@ -255,11 +255,18 @@ def q23(b: Base):
 
 @query(
     "Q24_link_export",
-    f"""SELECT k.link_id, k.name, k.title, k.path, c.name AS campaign, k.ads_platform, array_to_string(k.tags, ', ') AS tag_list, {sums(table='s.')}, CAST(0 AS DOUBLE) AS avg_engagement_time
+    f"""SELECT k.link_id, k.name, k.title, CASE WHEN k.link_id % 3 = 0 THEN 'Sub' END AS subtitle, TIMESTAMP '2024-01-02 03:04:05' AS updated_at, CASE WHEN k.link_id % 2 = 0 THEN 'dashboard' ELSE 'sdk' END AS generated_from_platform,
+       k.sdk_generated, k.active, CASE WHEN k.link_id % 4 = 0 THEN '' ELSE 'a=' || k.link_id || ', b=' END AS data_list, k.path, c.name AS campaign, k.ads_platform, array_to_string(k.tags, ', ') AS tag_list, {sums(table='s.')}, CAST(0 AS DOUBLE) AS avg_engagement_time
        FROM a_links k LEFT JOIN a_campaigns c ON c.campaign_id = k.campaign_id LEFT JOIN lds s ON s.link_id = k.link_id AND s.{RANGE} WHERE k.project_id = {P} AND k.active AND NOT k.sdk_generated GROUP BY ALL""",
 )
 def q24(b: Base):
-    return a.link_export(b.t.links, b.lds, b.t.campaigns, P, START, END)
+    links = b.t.links.withColumns({
+        "subtitle": F.when(F.col("link_id") % 3 == 0, "Sub"),
+        "updated_at": F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"),
+        "generated_from_platform": F.when(F.col("link_id") % 2 == 0, "dashboard").otherwise("sdk"),
+        "data": F.when(F.col("link_id") % 4 != 0, F.create_map(F.lit("b"), F.lit(None).cast("string"), F.lit("a"), F.col("link_id").cast("string"))),
+    })
+    return a.link_export(links, b.lds, b.t.campaigns, P, START, END)
 
 
 @query(

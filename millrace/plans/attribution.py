@@ -116,24 +116,54 @@ def a10(b: Base):
     return a.first_per_action(found).select("open_id", "device_id", "link_id")
 
 
+@query(
+    "A10_resolved_opens",
+    """SELECT open_id, project_id, device_id, asked AS link_id FROM found WHERE asked IS NOT NULL AND action_id IS NULL UNION ALL
+SELECT f.open_id, f.project_id, f.device_id, coalesce(f.asked, f.action_link) FROM found f JOIN acts x ON x.action_id = f.action_id LEFT JOIN a_links l ON l.link_id = f.action_link
+WHERE (f.asked IS NOT NULL OR l.project_id = f.project_id AND l.active) AND x.action_id % 9 <> 0
+  AND NOT EXISTS (SELECT 1 FROM found g JOIN acts y ON y.action_id = g.action_id WHERE g.device_id = f.device_id AND (g.at, g.open_id) < (f.at, f.open_id) AND y.at >= x.at)""",
+    f"""{OPENS},
+acts AS (SELECT event_id AS action_id, device_id, link_id, created_at AS at FROM a_events WHERE event = 'view' AND link_id IS NOT NULL),
+reqs AS (SELECT o.open_id, 1 + o.device_id % 3 AS project_id, o.device_id, CASE WHEN o.open_id % 5 = 0 THEN NULL ELSE o.device_id END AS matched, o.at,
+  CASE WHEN o.open_id % 4 = 0 THEN (SELECT max(x.link_id) FROM acts x WHERE x.device_id = o.device_id) WHEN o.open_id % 4 = 2 THEN 1 + o.open_id % 100 END AS asked FROM opens o),
+found AS (SELECT r.open_id, r.project_id, r.device_id, r.at, r.asked, arg_max(x.action_id, (x.at, x.action_id)) AS action_id, arg_max(x.link_id, (x.at, x.action_id)) AS action_link
+  FROM reqs r LEFT JOIN a_links k ON k.link_id = r.asked LEFT JOIN acts x ON x.device_id = r.matched AND x.at <= r.at AND x.at >= r.at - INTERVAL 14400 MINUTE AND (r.asked IS NULL OR x.link_id = r.asked)
+  WHERE r.asked IS NULL OR k.project_id = r.project_id GROUP BY ALL)""",
+)
+def a10_resolved(b: Base):
+    views = b.t.events.filter("event = 'view' and link_id is not null")
+    actions = views.select(F.col("event_id").alias("action_id"), "device_id", "link_id", F.col("created_at").alias("at"), (F.col("event_id") % 9 == 0).alias("handled"))
+    favourite = views.groupBy("device_id").agg(F.max("link_id").alias("_favourite"))
+    asked = F.when(F.col("open_id") % 4 == 0, F.col("_favourite")).when(F.col("open_id") % 4 == 2, 1 + F.col("open_id") % 100)
+    requests = _opens(b).join(favourite, "device_id", "left").select("open_id", "device_id", "at", (1 + F.col("device_id") % 3).alias("project_id"), asked.alias("link_id"))
+    matches = requests.filter("open_id % 5 <> 0").select("open_id", "device_id")
+    links = b.t.links.withColumn("opens_app", F.col("active"))
+    return a.resolved_opens(requests, matches, actions, links, 14400).select("open_id", "project_id", "device_id", "link_id")
+
+
 @query("A11_generate_path")
 def a11(b: Base):
     names = b.t.links.select(F.lit("example.com").alias("domain"), F.col("link_id").alias("seed"))
     return a.new_paths(names, b.t.links.select(F.lit("example.com").alias("domain"), "path"))
 
 
-@query("A12_firebase_import", "SELECT link_id AS line, CASE WHEN link_id % 10 = 0 THEN 'blank path' WHEN link_id % 10 = 1 AND link_id > 1 THEN 'duplicate' WHEN link_id % 10 = 2 THEN 'duplicate' ELSE 'created' END AS reason FROM a_links")
+@query("A12_firebase_import", """SELECT link_id AS line, reason, CASE WHEN reason = 'created' THEN CASE WHEN link_id = 1 THEN 'same' ELSE path || 'x' END END AS path, CASE WHEN reason = 'created' THEN CASE WHEN link_id % 4 = 0 THEN '' ELSE 'c' || link_id END END AS utm_campaign,
+       CASE WHEN reason = 'created' THEN 'myapp.example://item/' || link_id END AS link
+     FROM (SELECT *, CASE WHEN link_id % 10 = 0 THEN 'blank path' WHEN link_id % 10 = 1 AND link_id > 1 THEN 'duplicate' WHEN link_id % 10 = 2 THEN 'duplicate' ELSE 'created' END AS reason FROM a_links)""")
 def a12(b: Base):
-    path = F.when(F.col("link_id") % 10 == 0, " ").when(F.col("link_id") % 10 == 1, "/go/same").when(F.col("link_id") % 10 == 2, "/go/old").otherwise(F.concat(F.lit("/go/"), F.col("path")))
-    rows = b.t.links.select(F.col("link_id").alias("line"), path.alias("path"), "name")
-    good, skipped = a.import_links(rows, b.spark.createDataFrame([("old",)], "path string"), ["/go/"])
-    return good.select("line", F.lit("created").alias("reason")).union(skipped)
+    path = F.when(F.col("link_id") % 10 == 0, " ").when(F.col("link_id") % 10 == 1, "/go/same").when(F.col("link_id") % 10 == 2, "/go/old").otherwise(F.concat(F.lit("/go/"), F.col("path"), F.lit("/go/x ")))
+    campaign = F.when(F.col("link_id") % 4 != 0, F.concat(F.lit(" c"), F.col("link_id")))
+    empty = F.lit(None).cast("string")
+    rows = b.t.links.select(F.col("link_id").alias("line"), path.alias("path"), "name", campaign.alias("utm_campaign"), empty.alias("utm_medium"), empty.alias("utm_source"), F.concat(F.lit("https://myapp.example/item/"), F.col("link_id")).alias("link"))
+    good, skipped = a.import_links(rows, b.spark.createDataFrame([("old",)], "path string"), ["/go/"], "https://myapp.example/")
+    made = good.select("line", F.lit("created").alias("reason"), "path", "utm_campaign", "link")
+    return made.unionByName(skipped, allowMissingColumns=True)
 
 
-@query("A13_link_display_defaults", "SELECT link_id, CASE WHEN link_id % 3 = 0 THEN CASE WHEN link_id % 2 = 0 THEN 'Open the app' ELSE 'Domain' END ELSE title END AS shown_title, CASE WHEN link_id % 5 = 0 THEN 'Sub' ELSE '' END AS shown_subtitle FROM a_links")
+@query("A13_link_display_defaults", "SELECT link_id, CASE WHEN link_id % 3 = 0 THEN CASE WHEN link_id % 2 = 0 THEN 'Open the app' ELSE 'Domain' END ELSE title END AS shown_title, CASE WHEN link_id % 5 = 0 THEN 'Sub' ELSE '' END AS shown_subtitle, CASE WHEN link_id % 2 = 0 THEN 'own.png' WHEN link_id % 3 = 0 THEN 'domain.png' ELSE 'preview.png' END AS shown_image FROM a_links")
 def a13(b: Base):
-    given = b.t.links.select("link_id", F.when(F.col("link_id") % 3 == 0, " ").otherwise(F.col("title")).alias("title"), F.lit(None).cast("string").alias("subtitle"), F.when(F.col("link_id") % 2 == 1, "Domain").alias("domain_title"), F.when(F.col("link_id") % 5 == 0, "Sub").otherwise("").alias("domain_subtitle"))
-    return a.display(given).select("link_id", "shown_title", "shown_subtitle")
+    given = b.t.links.select("link_id", F.when(F.col("link_id") % 3 == 0, " ").otherwise(F.col("title")).alias("title"), F.lit(None).cast("string").alias("subtitle"), F.when(F.col("link_id") % 2 == 1, "Domain").alias("domain_title"), F.when(F.col("link_id") % 5 == 0, "Sub").otherwise("").alias("domain_subtitle"), F.when(F.col("link_id") % 2 == 0, "own.png").alias("image"), F.when(F.col("link_id") % 3 == 0, "domain.png").otherwise(" ").alias("domain_image"))
+    return a.display(given).select("link_id", "shown_title", "shown_subtitle", "shown_image")
 
 
 @query("A14_utm_append", "SELECT url_id, url || CASE WHEN instr(url, '?') > 0 THEN '&' ELSE '?' END || 'utm_source=app' || CASE WHEN url_id % 2 = 0 THEN '&utm_campaign=' || url_id ELSE '' END AS url FROM urls", URLS)

@@ -172,6 +172,24 @@ def r16(b: Base):
     return b.t.purchases.select("event_id", r.google_event(F.col("event_id") % 21).alias("event_type"))
 
 
+KINDS = ["SUBSCRIBED", "DID_RENEW", "DID_FAIL_TO_RENEW", "EXPIRED", "GRACE_PERIOD_EXPIRED", "REFUND", "REFUND_REVERSED", "REVOKE", "OFFER_REDEEMED", "ONE_TIME_CHARGE", "DID_CHANGE_RENEWAL_PREF", "DID_CHANGE_RENEWAL_STATUS", "TEST"]
+SUBTYPES = [None, "UPGRADE", "DOWNGRADE", "GRACE_PERIOD", "BILLING_RETRY"]
+
+
+@query(
+    "R16_apple_event_map",
+    f"""SELECT event_id, CASE WHEN kind IN ('SUBSCRIBED', 'DID_RENEW', 'ONE_TIME_CHARGE') THEN 'buy'
+      WHEN kind = 'OFFER_REDEEMED' THEN CASE coalesce(subtype, '') WHEN 'UPGRADE' THEN 'change' WHEN 'DOWNGRADE' THEN NULL ELSE 'buy' END
+      WHEN kind = 'DID_CHANGE_RENEWAL_PREF' AND subtype = 'UPGRADE' THEN 'change'
+      WHEN kind = 'DID_FAIL_TO_RENEW' AND coalesce(subtype, '') NOT IN ('GRACE_PERIOD', 'BILLING_RETRY') THEN 'cancel'
+      WHEN kind IN ('EXPIRED', 'GRACE_PERIOD_EXPIRED', 'REVOKE') THEN 'cancel' WHEN kind = 'REFUND' THEN 'refund' WHEN kind = 'REFUND_REVERSED' THEN 'refund_reversed' END AS event_type
+    FROM (SELECT event_id, {KINDS!r}[1 + event_id % {len(KINDS)}] AS kind, {["" if x is None else x for x in SUBTYPES]!r}[1 + event_id % {len(SUBTYPES)}] AS subtype FROM a_purchase_events)""",
+)
+def r16_apple(b: Base):
+    pick = lambda values: F.element_at(F.array(*[F.lit(x).cast("string") for x in values]), (F.col("event_id") % len(values) + 1).cast("int"))
+    return b.t.purchases.select("event_id", r.apple_event(pick(KINDS), pick(SUBTYPES)).alias("event_type"))
+
+
 @query(
     "R17_full_refund_qty",
     """SELECT b.event_id, b.original_transaction_id, b.product_id, CAST(greatest(b.quantity - coalesce((SELECT sum(quantity) FROM a_purchase_events r WHERE r.event_type = 'refund'

@@ -323,3 +323,27 @@ def test_paths(spark):
     names = spark.range(200).select(F.lit("d").alias("domain"), F.col("id").alias("seed"))
     made = attribution.new_paths(names, spark.createDataFrame([], "domain string, path string"), test=True).collect()
     assert len({r.path for r in made}) == len(made) and all(r.path.endswith("-test") and len(r.path) == 11 for r in made)
+
+
+def test_apple_events_by_type_and_subtype(spark):
+    rows = [("SUBSCRIBED", "UPGRADE", "buy"), ("DID_FAIL_TO_RENEW", None, "cancel"), ("DID_FAIL_TO_RENEW", "BILLING_RETRY", None), ("OFFER_REDEEMED", "UPGRADE", "change"), ("OFFER_REDEEMED", "DOWNGRADE", None), ("OFFER_REDEEMED", None, "buy"), ("DID_CHANGE_RENEWAL_PREF", "DOWNGRADE", None), ("TEST", None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "kind string, subtype string, expected string")
+    assert all(r.got == r.expected for r in df.withColumn("got", revenue.apple_event(F.col("kind"), F.col("subtype"))).collect())
+
+
+def test_import_takes_prefixes_and_columns(spark):
+    rows = spark.createDataFrame([(1, "https://s.example/a ", " n ", "c", None, "web", "https://app.example/x"), (2, "https://s.example/", "m", None, None, None, None), (3, "b", None, None, None, None, "other")], "line int, path string, name string, utm_campaign string, utm_medium string, utm_source string, link string")
+    good, skipped = attribution.import_links(rows, spark.createDataFrame([("b",)], "path string"), ["https://s.example/"], "https://app.example/")
+    assert [tuple(r) for r in good.select("line", "path", "name", "utm_campaign", "utm_medium", "utm_source", "link").collect()] == [(1, "a", "n", "c", "", "web", "app.example://x")]
+    assert sorted(map(tuple, skipped.collect())) == [(2, "blank path"), (3, "duplicate")]
+
+
+def test_open_without_an_action_and_handled_ones(spark):
+    moment = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    requests = spark.createDataFrame([(1, 1, 5, 7, moment(10)), (2, 1, 5, None, moment(11)), (3, 1, 5, 7, moment(12)), (4, 2, 5, 7, moment(13)), (5, 1, 6, None, moment(14)), (6, 1, 6, 8, moment(15))], "open_id long, project_id long, device_id long, link_id long, at timestamp_ntz")
+    matches = spark.createDataFrame([(k, 9) for k in (2, 3, 4, 5)], "open_id long, device_id long")
+    actions = spark.createDataFrame([(100, 9, 7, moment(9), False)], "action_id long, device_id long, link_id long, at timestamp_ntz, handled boolean")
+    links = spark.createDataFrame([(7, 1, True), (8, 1, False)], "link_id long, project_id long, opens_app boolean")
+    got = attribution.resolved_opens(requests, matches, actions, links).collect()
+    # 1 and 6 without an action, 2 by the action, which is handled for 3 and 5; 4 is another project's.
+    assert sorted((r.open_id, r.device_id, r.link_id) for r in got) == [(1, 5, 7), (2, 5, 7), (6, 6, 8)]
