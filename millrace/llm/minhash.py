@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import scratch
-from millrace.llm.arrow import slices
+from millrace.llm.arrow import release, slices
 from millrace.llm.components import components
 from millrace.llm.names import column
 from millrace.llm.words import mix, window_hashes, word_hashes
@@ -117,6 +117,7 @@ def sketch(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.binary()), pa.array([next(made).tobytes() if len(x) else None for x in sets], pa.binary())],
                 ["doc_id", "n_shingles", "same", "sketch"],
             )
+        release()
 
     return df.select(column(key).cast("long").alias("doc_id"), column(text).cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -190,6 +191,7 @@ def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", 4 << 20):
             made = [np.unique(shingles(t) & KEPT).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["id", "shingles"])
+        release()
 
     ids = ids.select(F.col("id").alias("doc_id"))
     if ids.count() <= BROADCAST_ROWS:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import scratch
-from millrace.llm.arrow import slices
+from millrace.llm.arrow import release, slices
 from millrace.llm.names import column, packed, unpacked
 from millrace.llm.words import mix, window_hashes
 
@@ -199,6 +199,8 @@ def prefix_counts(df: DataFrame, bits: int, window: int) -> DataFrame:
                 ],
                 ["level", "bin", "word", "n"],
             )
+            del found
+        release()
 
     made = df.select("doc_id", "text").mapInArrow(run, "level int, bin long, word binary, n long")
     return made.groupBy("level", "bin", "word").agg(F.sum("n").alias("n"))
@@ -319,9 +321,12 @@ def _segments(df: DataFrame, hot: list[np.ndarray], bits: int, window: int, comm
                 salt = (salt + int(found.tag.sum() % DIRECT) + 1) % DIRECT
                 yield _sent(found, hot, bits, -1 - salt, len(common))
                 found = Suffixes(window, common)
+                release()
         if found.waiting:
             found.close()
             yield _sent(found, hot, bits, -1 - (salt + int(found.tag.sum() % DIRECT) + 1) % DIRECT, len(common))
+        del found
+        release()
 
     return df.select("doc_id", "text").mapInArrow(run, "group long, " + ", ".join(f"{c} binary" for c in _COLUMNS))
 
