@@ -52,7 +52,7 @@ GROUP = 1_500_000
 BUCKET = 400
 CHUNK_BYTES = 4 << 20
 #: Passages that a task gathers before it sends them on (about 80 bytes each while they are sorted).
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Bytes of a word that are kept as they are.
 LONG = 64
 #: Words that have the same number everywhere: the most frequent ones, and how often a word must be in one batch to be counted.
