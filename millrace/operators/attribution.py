@@ -113,21 +113,29 @@ def fingerprint_matches(requests: DataFrame, seen: DataFrame, minutes: int = 5)
     one was seen with the same address, platform and version in the window; of several, only those that agree in
     every further mark, none of them null."""
     keys = ["project_id", "remote_ip", "ua_platform", "ua_version"]
-    theirs = seen.select(*keys, F.col("device_id"), F.col("at").alias("_seen"), *[F.col(c).alias(f"_{c}") for c in TIE_BREAK])
-    # Dealt into windows of time as well: many devices may be behind one address.
+    # Exactly one device was seen where the least and the greatest are equal, so no pairs of requests and views are made. A window
+    # ends in one slot of its width and begins in the slot before: running extremes, forward in the one and backward in the other.
     width = minutes * 60_000_000
-    slot = F.floor(_micros("at") / width)
-    theirs = theirs.withColumn("_slot", F.floor(_micros("_seen") / width))
-    slotted = requests.withColumn("_slot", F.explode(F.array(slot, slot - 1)))
-    near = slotted.join(theirs, [*keys, "_slot"]).filter((F.col("_seen") <= F.col("at")) & (_micros("_seen") >= _micros("at") - width))
-    same = F.lit(True)
+    theirs = seen.select(*keys, *TIE_BREAK, "device_id", _micros("at").alias("_at"), F.lit(0).alias("_side"))
+    asked = requests.select("request_id", *keys, *TIE_BREAK, F.explode(F.array(*[F.struct(_micros("at") - k * width, F.lit(k + 1)) for k in (0, 1)])).alias("_end"))
+    asked = asked.select("*", F.col("_end.col1").alias("_at"), F.col("_end.col2").alias("_side")).drop("_end")
+    rows = theirs.unionByName(asked, allowMissingColumns=True).dropna(subset=[*keys, "_at"])
+    rows = rows.withColumn("_slot", F.col("_at") - F.pmod("_at", F.lit(width)))
+
+    def extreme(of, *by: str):
+        window = Window.partitionBy(*keys, "_slot", *by).rowsBetween(Window.unboundedPreceding, 0)
+        forward, backward = (of("device_id").over(window.orderBy(order, "_side")) for order in ("_at", F.desc("_at")))  # views of the same moment come first
+        return F.when(F.col("_side") == 1, forward).when(F.col("_side") == 2, backward)
+
+    complete = F.lit(True)
     for c in TIE_BREAK:
-        same = same & F.coalesce(F.col(c) == F.col(f"_{c}"), F.lit(False))
-    counted = near.groupBy("request_id").agg(
-        F.count_distinct("device_id").alias("n"), F.min("device_id").alias("one"), F.count_distinct(F.when(same, F.col("device_id"))).alias("n_same"), F.min(F.when(same, F.col("device_id"))).alias("one_same")
+        complete = complete & F.col(c).isNotNull()
+    ran = rows.withColumns({"_least": extreme(F.min), "_most": extreme(F.max), "_least_same": extreme(F.min, *TIE_BREAK), "_most_same": extreme(F.max, *TIE_BREAK)})
+    met = ran.filter("_side > 0").groupBy("request_id").agg(
+        F.min("_least").alias("least"), F.max("_most").alias("most"), F.min(F.when(complete, F.col("_least_same"))).alias("least_same"), F.max(F.when(complete, F.col("_most_same"))).alias("most_same")
     )
-    device = F.when(F.col("n") == 1, F.col("one")).when(F.col("n_same") == 1, F.col("one_same"))
-    return requests.select("request_id").join(counted.select("request_id", device.alias("device_id")), "request_id", "left")
+    device = F.when(F.col("least") == F.col("most"), F.col("least")).when(F.col("least_same") == F.col("most_same"), F.col("least_same"))
+    return requests.select("request_id").join(met.select("request_id", device.alias("device_id")), "request_id", "left")
 
 
 #: The image of links that have none, nor their domain; a deployment sets its own.

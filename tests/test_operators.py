@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -284,6 +285,49 @@ def test_fingerprints(spark):
     assert {r.request_id: r.device_id for r in attribution.fingerprint_matches(requests, seen).collect()} == {1: 1, 2: None, 3: 3, 4: None}
 
 
+def _shuffled(spark):
+    """Records that all stages so far wrote to shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_fingerprints_of_a_busy_address(spark):
+    """Requests and views behind one address are not paired: 1,500 of each shuffled over a million records."""
+    base = "project_id long, remote_ip string, ua_platform string, ua_version string, at timestamp_ntz, " + ", ".join(f"{c} string" for c in attribution.TIE_BREAK)
+    rows = [(k, 1, "ip", "ios", "17", at("2024-01-01T00:00:00") + dt.timedelta(milliseconds=20 * k), *["a"] * 6) for k in range(1500)]
+    requests, seen = (spark.createDataFrame(rows, f"{name} long, {base}") for name in ("request_id", "device_id"))
+    before = _shuffled(spark)
+    got = {r.request_id: r.device_id for r in attribution.fingerprint_matches(requests, seen).collect()}
+    assert got == {k: 0 if k == 0 else None for k in range(1500)}
+    assert 0 < _shuffled(spark) - before < 50_000
+
+
+def test_fingerprints_against_all_pairs(spark):
+    rng = random.Random(8)
+    start, marks = at("2024-01-01T00:00:00"), len(attribution.TIE_BREAK)
+
+    def row(k):
+        # Moments on a coarse grid meet both ends of the window and both sides of a slot.
+        own = [rng.choice("ab")] * marks
+        if rng.random() < 0.1:
+            own[rng.randrange(marks)] = None
+        return (k, rng.choice([1, 1, 2, None]), rng.choice(["x", "x", "y", None]), "ios", rng.choice(["17", "18"]), None if rng.random() < 0.03 else start + dt.timedelta(seconds=30 * rng.randrange(120)), *own)
+
+    base = "project_id long, remote_ip string, ua_platform string, ua_version string, at timestamp_ntz, " + ", ".join(f"{c} string" for c in attribution.TIE_BREAK)
+    seen = [row(rng.choice([*range(12), None])) for _ in range(300)]
+    requests = [row(k) for k in range(400)]
+    window = dt.timedelta(minutes=5)
+    want = {}
+    for k, *r in requests:
+        near = [s for s in seen if None not in (*r[:5], *s[1:6]) and list(s[1:5]) == r[:4] and r[4] - window <= s[5] <= r[4] and s[0] is not None]
+        every, same = {s[0] for s in near}, {s[0] for s in near if None not in s[6:] and list(s[6:]) == r[5:]}
+        want[k] = min(every) if len(every) == 1 else min(same) if len(same) == 1 else None
+    got = attribution.fingerprint_matches(spark.createDataFrame(requests, f"request_id long, {base}"), spark.createDataFrame(seen, f"device_id long, {base}")).collect()
+    assert {r.request_id: r.device_id for r in got} == want and len(got) == 400
+    assert len({k for k, v in want.items() if v is not None}) > 50
+
+
 def test_notifications(spark):
     notes = spark.createDataFrame([(1, 1, "Hi", None, False, True, True, None), (2, 1, "Ho", "x", False, False, False, ["desktop"]), (3, 1, "Old", None, True, False, False, [])], "notification_id long, project_id long, title string, subtitle string, archived boolean, new_users boolean, auto_display boolean, platforms array<string>")
     messages = spark.createDataFrame([(1, 5, True), (1, 6, False), (2, 5, False)], "notification_id long, visitor_id long, read boolean")
