@@ -101,7 +101,9 @@ class Suffixes:
 
     def _number(self) -> None:
         """Number the words: common ones as they are numbered everywhere, the others in the order in which they come."""
-        coded = pa.chunked_array(self.parts, pa.large_binary()).dictionary_encode().combine_chunks()
+        coded = pa.chunked_array(self.parts, pa.large_binary()).dictionary_encode()
+        # Without a word there is no chunk, and no dictionary to combine.
+        coded = coded.combine_chunks() if coded.num_chunks else pa.array([], pa.large_binary()).dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.chunk(0)
         self.parts = []

@@ -78,6 +78,12 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert near_rows(spark, rows) == want
 
 
+def test_repeats_where_no_text_has_a_passage(spark):
+    rows = [(1, "a b c"), (2, "a b c"), (3, ""), (4, None), (None, "x")]
+    got = substrings.remove_repeats(frame(spark, rows).repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0)]
+
+
 def test_rows_with_one_doc_id_are_one_document(spark):
     a, b = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
     got = near_rows(spark, [(5, a), (5, b), (3, a), (9, b)])
