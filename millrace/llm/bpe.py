@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.arrow import binary_lists, slices
+from millrace.llm.arrow import binary_lists, release, slices
 from millrace.llm.names import column
 from millrace.llm.words import chunks
 
-#: Chunks a worker remembers (about 200 bytes each); then it starts again.
+#: Chunks a task remembers (about 200 bytes each); then it starts again.
 CACHE_CHUNKS = 1_000_000
 LONG = 10_000
 #: White space as the library's pattern has it (Unicode White_Space).
@@ -116,6 +116,8 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids:
             if decoded:
                 columns.append(pa.array([codec.decode(np.frombuffer(x, "<u4").tolist()) for x in rows], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, [*rest, ids, *([decoded] if decoded else [])])
+        codec.seen = {}  # the worker lives on beside the next operator's
+        release()
 
     return df.mapInArrow(run, schema)
 

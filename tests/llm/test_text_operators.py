@@ -10,10 +10,12 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyarrow import fs
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from millrace.llm import bpe, mixing, queries, records, scratch, sharding, urls
@@ -330,3 +332,18 @@ def test_encoder_against_the_library_on_odd_texts():
         some = texts[start : start + 500]
         expected = [np.array(x.ids, "<u2").tobytes() for x in encoder.tokenizer.encode_batch(some, add_special_tokens=False)]
         assert encoder.encode(some) == expected
+
+
+def test_encoding_leaves_nothing_with_the_worker():
+    """Python workers live on: what a task remembers would stand beside the next operator's memory."""
+
+    class Frame:
+        schema = T.StructType([T.StructField("text", T.StringType())])
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = bpe.encode(Frame(), queries.MULTILINGUAL, P.PATTERN)
+    (made,) = run(iter([pa.RecordBatch.from_pydict({"text": ["some words", None]})]))
+    assert made.column("ids").to_pylist()[0] and made.column("ids").to_pylist()[1] == []
+    assert not bpe.Codec.load(queries.MULTILINGUAL, P.PATTERN).seen
